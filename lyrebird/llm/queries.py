@@ -4,21 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lyrebird.llm import shared
-from lyrebird.llm.quality import STOP_WORDS as _STOP_WORDS
+from lyrebird.llm.packing import pack_documents
+from lyrebird.llm.quality import STOP_WORDS, quality_rules
+from lyrebird.llm.token_store import digest, read_token_ids, write_token_ids
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lyrebird.llm.quality import quality_rules
-
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_len=2048)
+
+
+def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = shared.scratch(spark, "token-ids")
+    write_token_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return digest(read_token_ids(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_quality_rules,)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op8_quality_rules, op10_orc_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -39,7 +52,7 @@ m AS (
     length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-    len(list_filter(w, lambda x: list_contains([{", ".join(f"'{x}'" for x in _STOP_WORDS)}], lower(rtrim(x, '.,')))))::BIGINT AS n_stop,
+    len(list_filter(w, lambda x: list_contains([{", ".join(f"'{x}'" for x in STOP_WORDS)}], lower(rtrim(x, '.,')))))::BIGINT AS n_stop,
     coalesce(r, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN repeats USING (doc_id)),
 n AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
