@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lyrebird.llm import shared
+from lyrebird.llm import shared, warc
 from lyrebird.llm.packing import pack_documents
 from lyrebird.llm.quality import STOP_WORDS, quality_rules
 from lyrebird.llm.token_store import digest, read_token_ids, write_token_ids
@@ -23,6 +23,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_len=2048)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.scratch(spark, "warc")
+    index = warc.write_archive(warc.with_types(shared.table(spark, sf_dir, "pages")), folder)
+    found = warc.read_archive(spark, folder, index)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     path = shared.scratch(spark, "token-ids")
@@ -31,11 +38,11 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op8_quality_rules, op10_orc_token_ids)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op7_warc, op8_quality_rules, op10_orc_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8_SQL}
+    return {"op7_warc": OP7_SQL, "op8_quality_rules": OP8_SQL}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -62,3 +69,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND n_stop / n_words >= 0.06 AND n_dup_lines / len(lines) <= 0.5 AS kept
 FROM n
 """
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+q AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM q
+"""
