@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lyrebird.llm import shared, warc
+from lyrebird.llm.maxscore import max_score_top_k
 from lyrebird.llm.packing import pack_documents
 from lyrebird.llm.quality import STOP_WORDS, quality_rules
 from lyrebird.llm.token_store import digest, read_token_ids, write_token_ids
@@ -23,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_len=2048)
 
 
+def op5_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_score_top_k(shared.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.scratch(spark, "warc")
     index = warc.write_archive(warc.with_types(shared.table(spark, sf_dir, "pages")), folder)
@@ -38,11 +44,11 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op7_warc, op8_quality_rules, op10_orc_token_ids)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op5_max_score, op7_warc, op8_quality_rules, op10_orc_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op5_max_score": OP5_SQL, "op7_warc": OP7_SQL, "op8_quality_rules": OP8_SQL}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -78,3 +84,14 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM q
 """
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
