@@ -13,6 +13,7 @@ from lyrebird.llm.maxscore import max_score_top_k
 from lyrebird.llm.packing import pack_documents
 from lyrebird.llm.quality import STOP_WORDS, quality_rules
 from lyrebird.llm.token_store import digest, read_token_ids, write_token_ids
+from lyrebird.llm.urls import url_filter
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(shared.table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     path = shared.scratch(spark, "token-ids")
@@ -44,7 +49,7 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op5_max_score, op7_warc, op8_quality_rules, op10_orc_token_ids)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op5_max_score, op7_warc, op8_quality_rules, op9_url_templates, op10_orc_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
