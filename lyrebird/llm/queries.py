@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyrebird.llm import shared, warc
+from lyrebird.llm.lm import score_documents
 from lyrebird.llm.maxscore import max_score_top_k
 from lyrebird.llm.ngram_join import jaccard_classes
 from lyrebird.llm.packing import pack_documents
@@ -27,6 +28,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_len=2048)
 
 
+def op3_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(shared.table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(shared.table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_jaccard_trie, op5_max_score, op7_warc, op8_quality_rules, op9_url_templates, op10_orc_token_ids)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_maxent_scores, op4_jaccard_trie, op5_max_score, op7_warc, op8_quality_rules, op9_url_templates, op10_orc_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
