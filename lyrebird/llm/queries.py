@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from lyrebird.llm import shared, warc
 from lyrebird.llm.lm import score_documents
 from lyrebird.llm.maxscore import max_score_top_k
+from lyrebird.llm.mixing import mix_sources
 from lyrebird.llm.ngram_join import jaccard_classes
 from lyrebird.llm.packing import pack_documents
+from lyrebird.llm.pii import pseudonyms
 from lyrebird.llm.quality import STOP_WORDS, quality_rules
 from lyrebird.llm.token_store import digest, read_token_ids, write_token_ids
 from lyrebird.llm.urls import url_filter
@@ -22,12 +24,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
+#: The key of the queries' pseudonyms; a production run takes its own from a secret store.
+KEY = "an example key"
+
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_len=2048)
 
 
+def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms(shared.table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def op3_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(shared.table(spark, sf_dir, "documents"))
 
@@ -40,6 +49,10 @@ def op5_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_score_top_k(shared.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(shared.table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.scratch(spark, "warc")
     index = warc.write_archive(warc.with_types(shared.table(spark, sf_dir, "pages")), folder)
@@ -59,11 +72,11 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_maxent_scores, op4_jaccard_trie, op5_max_score, op7_warc, op8_quality_rules, op9_url_templates, op10_orc_token_ids)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_feistel_pii, op3_maxent_scores, op4_jaccard_trie, op5_max_score, op6_poisson_mix, op7_warc, op8_quality_rules, op9_url_templates, op10_orc_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_max_score": OP5_SQL, "op7_warc": OP7_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op5_max_score": OP5_SQL, "op6_poisson_mix": OP6_SQL, "op7_warc": OP7_SQL, "op8_quality_rules": OP8_SQL}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -110,3 +123,17 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+_U = "('0x' || substr(md5(concat_ws('|', 'mix', doc_id::VARCHAR, coalesce(source, ''), '0')), 1, 13))::BIGINT / 16.0 ** 13"
+
+OP6_SQL = f"""
+WITH RECURSIVE s AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY source),
+r AS (SELECT source, w * (sum(n) OVER ()) / (sum(w) OVER ()) / n AS rate FROM s),
+steps AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS total FROM r
+  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), total + p * rate / (k + 1) FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 12)),
+d AS (SELECT *, {_U} AS u FROM documents),
+c AS (SELECT d.doc_id, count(*) AS copies FROM d JOIN steps ON d.source IS NOT DISTINCT FROM steps.source AND steps.total <= d.u GROUP BY d.doc_id),
+e AS (SELECT d.* EXCLUDE u, unnest(range(copies))::INTEGER AS copy FROM d JOIN c USING (doc_id))
+SELECT *, md5(concat_ws('|', 'mix', 'order', doc_id::VARCHAR, coalesce(source, ''), copy::VARCHAR)) AS shuffle_key FROM e
+"""
