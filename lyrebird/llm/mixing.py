@@ -60,7 +60,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     draws = F.greatest(F.ceil(F.col("__rate") / ONE_DRAW), F.lit(1)).cast("int")
     one = lambda j: poisson(uniform(seed, F.col(doc_id), own, j), F.col("__rate") / draws)
     n = F.aggregate(F.transform(F.sequence(F.lit(0), draws - 1), one), F.lit(0), lambda s, x: s + x)
-    rows = docs.drop("copy", "shuffle_key").join(rates, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__copies", n).where(F.col("__copies") > 0)
-    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__source", "__rate", "__copies")
+    rows = docs.drop("copy", "shuffle_key").join(rates, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__copies", n)
+    numbers = F.when(F.col("__copies") > 0, F.sequence(F.lit(0), F.col("__copies") - 1))  # null: no row
+    copies = rows.withColumn("copy", F.explode(numbers)).drop("__source", "__rate", "__copies")
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), own, F.col("copy").cast("string")))
     return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

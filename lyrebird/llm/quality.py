@@ -97,3 +97,13 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     })
     failed = F.filter(F.array(*(F.when(~_passes(r), F.lit(r.measure)) for r in rules)), lambda x: x.isNotNull())
     return out.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with their own columns.
+
+    A generator takes the place of a filter, which Spark would push below the columns that its condition is made of,
+    and so work these out again for each element of the arrays they hold.
+    """
+    once = F.when(F.col("kept"), F.array(F.lit(True)))  # null: no row
+    return quality_rules(docs, text, rules).select(*docs.columns, F.explode(once).alias("__kept")).drop("__kept")
