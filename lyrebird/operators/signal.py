@@ -1,0 +1,131 @@
+"""Signal checks on arrays of samples: levels, runs, clicks, silence and spectrum."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Fixed values.
+CLIP, CLIP_RUN = 0.9995, 4
+CLICK_SIGMA, CLICK_LEAST = 14.0, 0.08
+SILENCE_DB, ABRUPT_END_DB, ABRUPT_START_DB = -60.0, -10.0, -15.0
+
+
+def decibels(x: Column) -> Column:
+    return 20 * F.log10(F.greatest(x, F.lit(1e-10)))
+
+
+def doubles(samples: Column) -> Column:
+    """Null and NaN samples are 0, infinite ones 1 or -1."""
+    fine = lambda x: F.when(x.isNull() | F.isnan(x), 0.0).when(x == float("inf"), 1.0).when(x == float("-inf"), -1.0).otherwise(x)
+    return F.transform(samples, lambda x: fine(x.cast("double")))
+
+
+def mono(left: Column, right: Column) -> Column:
+    return F.zip_with(left, right, lambda a, b: (a + b) / 2)
+
+
+def levels(df: DataFrame, samples: str) -> DataFrame:
+    """peak, rms, crest_db and dc of a column of arrays of doubles."""
+    s = F.col(samples)
+    n = F.size(s)
+    mean = lambda f: F.aggregate(s, F.lit(0.0), lambda a, x: a + f(x)) / n
+    out = df.withColumns({"peak": F.array_max(F.transform(s, F.abs)), "rms": F.sqrt(mean(lambda x: x * x)), "dc": mean(lambda x: x)})
+    return out.withColumn("crest_db", decibels(F.col("peak")) - decibels(F.col("rms")))
+
+
+def level_issues(peak: Column, rms: Column, crest_db: Column, dc: Column) -> Column:
+    """Codes of what is wrong with the levels."""
+    codes = F.array(F.when(F.abs(dc) > 0.01, "dc_offset"), F.when(crest_db < 6, "low_dynamic_range"), F.when((decibels(peak) < -6) & (decibels(rms) < -30), "very_quiet"))
+    return F.filter(codes, lambda c: c.isNotNull())
+
+
+def exploded(df: DataFrame, key: str, samples: str) -> DataFrame:
+    """A row a sample: key, idx from 0 and x."""
+    return df.select(key, F.posexplode(samples).alias("idx", "x"))
+
+
+def runs(rows: DataFrame, key: str, marked: Column, order: str = "idx") -> DataFrame:
+    """Gaps and islands: each run of marked rows, with its start, end and length."""
+    w = Window.partitionBy(key).orderBy(order)
+    m = rows.withColumn("__m", marked).withColumn("__new", (F.col("__m") & ~F.coalesce(F.lag("__m").over(w), F.lit(False))).cast("int"))
+    island = m.withColumn("__run", F.sum("__new").over(w)).where("__m")
+    return island.groupBy(key, F.col("__run").alias("run")).agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("length"))
+
+
+def clip_severity(ratio: Column, long_runs: Column) -> Column:
+    return F.when(ratio > 0.015, "high").when((ratio > 0.003) | (long_runs > 500), "medium").when((ratio > 0.0005) & (long_runs >= 20), "low")
+
+
+def block_floor(rows: DataFrame, key: list[str], block: Column, value: str) -> DataFrame:
+    """Median and scaled median deviation of the values of each block."""
+    b = rows.withColumn("block", block)
+    med = b.groupBy(*key, "block").agg(F.median(value).alias("median"))
+    dev = b.join(med, [*key, "block"]).groupBy(*key, "block").agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    return dev.withColumn("sigma", F.greatest(1.4826 * F.col("mad"), F.lit(1e-7)))
+
+
+def clicks(rows: DataFrame, key: str, threshold: Column, gap: int) -> DataFrame:
+    """Jumps over the threshold that the next one reverses by half of it; those within gap of the last are one event."""
+    w = Window.partitionBy(key).orderBy("idx")
+    d = rows.withColumn("d", F.lead("x").over(w) - F.col("x")).where("d IS NOT NULL").withColumn("e", F.lead("d").over(w)).where("e IS NOT NULL")
+    spike = (F.abs("d") > threshold) & (F.signum("d") != F.signum("e")) & (F.abs("e") > threshold * 0.5)
+    first = d.where(spike).withColumn("new", F.coalesce((F.col("idx") - F.lag("idx").over(w)) > gap, F.lit(True)))
+    return first.groupBy(key).agg(F.count("*").alias("spikes"), F.count_if("new").alias("events"))
+
+
+def frames(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Level in decibels of each whole frame; a short last one is left out."""
+    return rows.groupBy(key, F.floor(F.col("idx") / size).cast("int").alias("frame")).agg(F.count("*").alias("n"), decibels(F.sqrt(F.avg(F.col("x") * F.col("x")))).alias("db")).where(F.col("n") == size).drop("n")
+
+
+def silence(framed: DataFrame, key: str, floor: float = SILENCE_DB) -> DataFrame:
+    """lead, trail and the longest interior run of silent frames; all silent: lead is all and trail 0."""
+    loud = framed.where(F.col("db") > floor).groupBy(key).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    total = framed.groupBy(key).agg((F.max("frame") + 1).alias("n"))
+    gaps = runs(framed, key, F.col("db") <= floor, "frame").join(loud, key).where((F.col("start") > F.col("first")) & (F.col("end") < F.col("last"))).groupBy(key).agg(F.max("length").alias("longest"))
+    out = total.join(loud, key, "left").join(gaps, key, "left")
+    return out.select(key, F.coalesce("first", "n").cast("long").alias("lead"), F.coalesce(F.col("n") - 1 - F.col("last"), F.lit(0)).cast("long").alias("trail"), F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
+
+
+def moving_average(rows: DataFrame, key: str, value: str, width: int, order: str = "idx") -> DataFrame:
+    """Mean over a centred window whose missing neighbours count as 0."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(width // 2), width - width // 2 - 1)
+    return rows.withColumn("smooth", F.sum(value).over(w) / width)
+
+
+def cutoff(samples: Column, rate: float, n_fft: int = 8192, from_hz: float = 9000.0, least_db: float = 25.0) -> Column:
+    """The frequency of the steepest drop of the mean spectrum of loud frames; the highest there is without a drop."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(arrays: pd.Series) -> pd.Series:
+        window, freqs = np.hanning(n_fft), np.fft.rfftfreq(n_fft, 1 / rate)
+        width = max(1, int(round(150.0 / (rate / n_fft))))
+
+        def one(a) -> float:
+            x = np.nan_to_num(np.asarray(a if a is not None else [], float), posinf=1.0, neginf=-1.0)
+            n = len(x) // n_fft
+            if not n:
+                return freqs[-1]
+            f = x[: n * n_fft].reshape(n, n_fft)
+            energy = (f * f).sum(axis=1)
+            loud = np.flatnonzero(energy > 0.15 * energy.max())
+            loud = loud if len(loud) else np.argsort(-energy, kind="stable")[:1]
+            loud = loud[np.linspace(0, len(loud) - 1, min(300, len(loud))).astype(int)]
+            power = (np.abs(np.fft.rfft(f[loud] * window, axis=1)) ** 2).mean(axis=0)
+            db = np.convolve(10 * np.log10(power + 1e-20), np.ones(width) / width, "same")
+            k = max(2, 4 * width)
+            at = np.arange(max(k, int(np.searchsorted(freqs, from_hz))), len(db) - k)
+            if not len(at):
+                return freqs[-1]
+            side = np.lib.stride_tricks.sliding_window_view(db, k)
+            drop = np.median(side[at - k], axis=1) - np.median(side[at], axis=1)
+            best = int(np.argmax(drop))
+            return float(freqs[at[best]]) if drop[best] >= least_db else float(freqs[-1])
+
+        return arrays.map(one).astype("float64")
+
+    return run(samples)
