@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lyrebird.functions import blanks, text
+from lyrebird.functions import blanks, text, workers
 from lyrebird.operators import catalog, duplicates, ledger, resolve, signal
 from lyrebird.sources import files
 from lyrebird.streaming import sessions as streams
@@ -33,6 +33,7 @@ def query(sql: str = "") -> Callable[[Query], Query]:
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    workers.ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
