@@ -1,16 +1,16 @@
-"""What the operators share: the tables they write between steps, and how Python workers get this package."""
+"""What the operators share: above all the tables that they write between steps."""
 
 from __future__ import annotations
 
 import atexit
-import functools
 import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lyrebird.functions.workers import ship  # noqa: F401  the operators take it from here
+
 #: ASCII white space, as a Java or RE2 character class.
 SPACE = r"\x20\x09-\x0D"
 #: Bytes A-Z to a-z, all others unchanged.
@@ -51,26 +51,5 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@functools.lru_cache(maxsize=4)
-def _package_zip() -> str:
-    root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="lyrebird-src-")) / "lyrebird.zip"
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    return str(out)
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once a session; they import its functions rather than unpickle copies."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        spark.sparkContext.addPyFile(_package_zip())
-        _shipped.add(app)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
