@@ -41,32 +41,32 @@ RULES = (
 def _measures(docs: DataFrame, text: str) -> DataFrame:
     """Counts of each text. The arrays are columns of their own, so that lambdas read them and don't build them again."""
     body = F.coalesce(F.col(text), F.lit(""))
-    w, n, g = F.col("__w"), F.size("__w"), F.col("__g")
+    w, n, g = F.col("__quality_words"), F.size("__quality_words"), F.col("__quality_hashes")
     words = docs.withColumns({
-        "__w": F.array_remove(F.split(body, f"[{SPACE}]+"), ""),
-        "__lines": F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]")),
+        "__quality_words": F.array_remove(F.split(body, f"[{SPACE}]+"), ""),
+        "__quality_lines": F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]")),
         "n_symbols": (F.char_length(body) - F.char_length(F.translate(body, SYMBOLS, ""))).cast("long"),
         "word_chars": F.char_length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long"),
     })
     at = lambda i, k: F.get(w, i + k)
     hashed = words.withColumns({
         "n_words": n.cast("long"),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_lines": F.size("__quality_lines").cast("long"),
+        "n_dup_lines": (F.size("__quality_lines") - F.size(F.array_distinct("__quality_lines"))).cast("long"),
         "n_stop_words": F.size(F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,"))).isin(STOP_WORDS))).cast("long"),
-        "__g": F.when(n >= WINDOW, F.transform(F.slice(w, 1, n - (WINDOW - 1)), lambda x, i: F.xxhash64(x, *(at(i, k) for k in range(1, WINDOW))))),
+        "__quality_hashes": F.when(n >= WINDOW, F.transform(F.slice(w, 1, n - (WINDOW - 1)), lambda x, i: F.xxhash64(x, *(at(i, k) for k in range(1, WINDOW))))),
     })
     # Equal windows have equal hashes, so only where two hashes meet are the windows themselves sorted and compared.
     met = F.size(F.array_distinct(g)) < F.size(g)
     key = lambda i: F.concat_ws(" ", F.slice(w, i + 1, WINDOW))
-    in_order = hashed.withColumn("__s", F.when(met, F.sort_array(F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.struct(key(i).alias("k"), i.alias("i"))))))
-    s = F.col("__s")
+    in_order = hashed.withColumn("__quality_windows", F.when(met, F.sort_array(F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.struct(key(i).alias("k"), i.alias("i"))))))
+    s = F.col("__quality_windows")
     same = lambda x, j: F.get(s, j)["k"] == x["k"]
     twice = F.filter(s, lambda x, j: F.coalesce(F.when(j > 0, same(x, j - 1)), F.lit(False)) | F.coalesce(same(x, j + 1), F.lit(False)))
     starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
     start = F.struct(F.lit(-WINDOW).alias("at"), F.lit(0).alias("n"))
     covered = F.aggregate(starts, start, lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(WINDOW), i - a["at"])).alias("n")), lambda a: a["n"])
-    return in_order.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__w", "__g", "__s", "__lines")
+    return in_order.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__quality_words", "__quality_hashes", "__quality_windows", "__quality_lines")
 
 
 def _passes(rule: Rule) -> Column:
@@ -106,4 +106,5 @@ def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     and so work these out again for each element of the arrays they hold.
     """
     once = F.when(F.col("kept"), F.array(F.lit(True)))  # null: no row
-    return quality_rules(docs, text, rules).select(*docs.columns, F.explode(once).alias("__kept")).drop("__kept")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__quality_row"), F.col(text).alias("text"))
+    return quality_rules(packed, "text", rules).select("__quality_row", F.explode(once)).select("__quality_row.*")
