@@ -8,14 +8,16 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 
-#: Cached chunks and their ids are dropped beyond these, so that a worker's memory stays bounded.
-CACHE_CHUNKS, CACHE_IDS = 400_000, 4_000_000
+#: Beyond these, cached chunks and their ids are dropped but for the first, which hold the frequent ones, so that a
+#: worker's memory stays bounded.
+CACHE_CHUNKS, CACHE_IDS, CACHE_KEEPS = 800_000, 8_000_000, 200_000
 #: Characters that are encoded together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 class _Seen(dict):
@@ -50,19 +52,33 @@ class ChunkEncoder:
         first = parts[0]
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
             self.kind = "lead"
-        elif first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in str(first.get("pattern")):
+        elif first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in first.get("pattern", {}).get("Regex", ""):
             self.kind = "drop"
         else:
             self.kind = "whole"
         self.chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
         self.odd = re.compile(r"[^\S \n]").search
-        self._clear()
-
-    def _clear(self) -> None:
         self.seen = _Seen()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start, self.size, self.used, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 0
 
+    def _forget(self) -> None:
+        """Keep the first chunks, which are the first in the arrays too; none if they alone are too large."""
+        old, self.seen = self.seen, _Seen()
+        self.known = min(CACHE_KEEPS, len(old))
+        self.used = int(self.start[self.known - 1] + self.size[self.known - 1])
+        if self.used > CACHE_IDS // 2:
+            self.known = self.used = 0
+        self.seen.update(zip(islice(old, self.known), range(self.known)))
+
+    def _words(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each of the words, which are encoded as one text and told apart by where their tokens begin."""
+        texts = [x.decode() for x in words]
+        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        at = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+        return np.split(np.array(got.ids, np.uint32), np.searchsorted(at, begins[1:-1]))
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -77,7 +93,8 @@ class ChunkEncoder:
         """Encode what is new."""
         new, self.seen.new = self.seen.new, []
         for at in range(0, len(new), 4096):
-            got = self._whole([x.decode() if isinstance(x, bytes) else x for x in new[at : at + 4096]])
+            some = new[at : at + 4096]
+            got = self._words(some) if self.kind == "drop" else self._whole(some)
             n = np.fromiter(map(len, got), np.int64, len(got))
             end, last = self.used + int(n.sum()), self.known + len(got)
             while end > len(self.ids):
@@ -91,7 +108,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the places where each text's begin and the last one's end."""
         if len(self.seen) > CACHE_CHUNKS or self.used > CACHE_IDS:
-            self._clear()
+            self._forget()
         parts = [self._split(x) for x in texts]
         bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]).astype(np.int64)
         number = self.seen.__getitem__
