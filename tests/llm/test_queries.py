@@ -31,3 +31,23 @@ def test_pipeline_stages(spark):
     packed = stages["best-fit packing"](spark, mixed, SF)
     total = packed.groupBy("sequence_id").agg({"length": "sum"}).toDF("s", "n").agg({"n": "max"}).first()[0]
     assert total <= 2048 and packed.where("piece = 0").count() == mixed.count()
+
+
+def test_pipeline_keeps_one_row_a_class(spark):
+    """Ids that repeat or are null, one id with two texts, and rows that are equal but for their source."""
+    import corpus_pipeline as p
+
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    near = {k: v + " end" for k, v in text.items()}
+    given = [
+        (3, text["a"], "s"), (7, near["a"], "s"), (7, text["b"], "s"), (7, text["c"], "t"), (7, text["c"], "s"), (8, near["c"], "s"), (None, text["d"], "s"),
+        (None, near["d"], "s"), (None, text["e"], "s"), (None, text["f"], "s"), (9, near["f"], "s"), (5, text["g"], "s"), (5, near["g"], "s"), (5, None, "s"), (None, " ", "s"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in given], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r["doc_id"], r["text"], r["source"]) for r in p.keep_one(spark, docs.repartition(3), SF).collect()}
+    one_of = lambda *rows: [r for r in rows if r in got]
+    either = one_of((None, text["d"], "s"), (None, near["d"], "s")), one_of((5, text["g"], "s"), (5, near["g"], "s"))
+    assert [len(x) for x in either] == [1, 1]
+    assert got == {(3, text["a"], "s"), (7, text["b"], "s"), (7, text["c"], "s"), (None, text["e"], "s"), (9, near["f"], "s"), (5, None, "s"), (None, " ", "s"), *either[0], *either[1]}
+    again = p.keep_one(spark, docs.orderBy("source", "n_chars").repartition(2), SF)
+    assert again.count() == len(got) and {(r["doc_id"], r["text"], r["source"]) for r in again.collect()} == got
