@@ -17,7 +17,7 @@ from lyrebird.llm.packing import pack_documents
 from lyrebird.llm.pii import pseudonyms
 from lyrebird.llm.quality import STOP_WORDS, quality_rules
 from lyrebird.llm.token_store import digest, read_token_ids, write_token_ids
-from lyrebird.llm.urls import url_filter
+from lyrebird.llm.urls import junk_text, url_filter
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(shared.table(spark, sf_dir, "pages").select("page_id", "url"))
+    return url_filter(shared.table(spark, sf_dir, "pages").select("page_id", "url", "html"), bad=junk_text(F.col("html")))
 
 
 def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

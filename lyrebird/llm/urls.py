@@ -18,7 +18,7 @@ CHILDREN = 32
 DEPTH = 8
 #: Smoothing: labelled pages that the host's and the corpus's rates count as. Significance of a difference of rates.
 WEIGHT, Z = 5.0, 1.96
-#: A template is rejected at this smoothed rate of bad pages, if it has so many labelled ones.
+#: A template is rejected at this smoothed rate of bad pages, if its host has so many labelled ones.
 REJECT, LEAST_LABELS = 0.5, 5
 VARIABLE = r"^([0-9]+|[0-9a-fA-F-]{8,}|[0-9]{4}-[0-9]{2}(-[0-9]{2})?)(\.[A-Za-z0-9]{1,5})?$"
 
@@ -45,6 +45,13 @@ def by_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if name is None else (name, verdict)
 
 
+def junk_text(html: Column) -> Column:
+    """1 if what html shows has more than one symbol (# * $ % | & < >) in ten words, else 0; null if it shows no word."""
+    shown = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
+    n_symbols, n_words = F.regexp_count(shown, F.lit(r"[#*$%|]|&(amp|lt|gt);")), F.regexp_count(shown, F.lit(r"[^\x20\x09-\x0D]+"))
+    return F.when(n_words > 0, (10 * n_symbols > n_words).cast("int"))
+
+
 def _grow(rows: DataFrame, level: int) -> DataFrame:
     """The rows one level further down: template gets the branch that the next segment belongs to."""
     seg = F.when(F.size("segs") > level, F.when(F.lit(level < DEPTH), F.get("segs", F.lit(level))).otherwise(F.lit("**")))
@@ -77,17 +84,18 @@ def _grow(rows: DataFrame, level: int) -> DataFrame:
 def url_filter(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, bad: Column | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), template, n_labelled and block_rate of each row.
 
-    A rule's verdict stands. All others get their template's: block if at least LEAST_LABELS of its pages are labelled
-    and the rate of bad ones, smoothed towards its host's and that towards the corpus's, is REJECT or more. bad (1 or 0,
-    null: no label) labels pages; by default the rules' verdicts do. A null url, or one without "://", has an empty host
+    A rule's verdict stands, and labels its page. bad (1 or 0, null: no label) labels pages without a rule. Those get their
+    template's verdict: block if at least LEAST_LABELS pages of its host are labelled and its rate of bad ones is REJECT or
+    more. Each rate is smoothed towards that of the branch above, the host's towards the corpus's, so a template without
+    labels has its parent's rate, and one with few is near it. n_labelled counts the template's own. A null url, or one without "://", has an empty host
     and path and is judged with its like; repeated rows count each and get equal verdicts. No pages give no rows.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), *([bad.cast("int").alias("bad")] if bad is not None else []))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "by_rule": verdict})
-    if bad is None:
-        rows = rows.withColumn("bad", (F.col("by_rule") == "block").cast("int"))
+    label = (F.col("by_rule") == "block").cast("int")
+    rows = rows.withColumn("bad", label if bad is None else F.coalesce(label, "bad"))
     rows = materialise(rows.withColumns({"segs": F.array_remove(F.split("path", "/"), ""), "template": F.lit("")}), "url-rows")
     deepest = min(rows.agg(F.max(F.size("segs")).alias("d")).first()["d"] or 0, DEPTH + 1)
     for level in range(deepest):
@@ -95,10 +103,17 @@ def url_filter(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
     total = rows.agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")).first()
     prior = (total["n_bad"] + 1.0) / (total["labelled"] + 2.0)
     sums = (F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
-    templates = rows.groupBy("host", "template").agg(*sums)
-    hosts = templates.groupBy("host").agg(((F.sum("n_bad") + WEIGHT * prior) / (F.sum("labelled") + WEIGHT)).alias("host_rate"))
-    smooth = (F.col("n_bad") + WEIGHT * F.col("host_rate")) / (F.col("labelled") + WEIGHT)
-    judged = materialise(templates.join(hosts, "host").select("host", "template", F.col("labelled").alias("n_labelled"), smooth.alias("block_rate")), "url-templates")
-    out = rows.join(judged, ["host", "template"])
-    by_template = F.when((F.col("n_labelled") >= LEAST_LABELS) & (F.col("block_rate") >= REJECT), "block").otherwise("allow")
+    templates = materialise(rows.groupBy("host", "template").agg(*sums), "url-templates")
+    parts = F.split("template", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    nodes = templates.select("host", "labelled", "n_bad", F.explode(F.array_union(above, F.array("template"))).alias("node"))
+    nodes = materialise(nodes.groupBy("host", "node").agg(F.sum("labelled").alias("node_labelled"), F.sum("n_bad").alias("node_bad")), "url-nodes")
+    chain = F.sort_array(F.collect_list(F.struct("depth", "node_labelled", "node_bad")))
+    chains = templates.select("host", "template", "labelled", "n_bad", F.posexplode(above).alias("depth", "node")).join(nodes, ["host", "node"])
+    chains = chains.groupBy("host", "template", "labelled", "n_bad").agg(chain.alias("chain"))
+    smooth = lambda n_bad, labelled, towards: (n_bad + WEIGHT * towards) / (labelled + WEIGHT)
+    parent_rate = F.aggregate("chain", F.lit(float(prior)), lambda rate, x: smooth(x["node_bad"], x["node_labelled"], rate))
+    judged = chains.select("host", "template", F.col("labelled").alias("n_labelled"), F.get("chain", F.lit(0))["node_labelled"].alias("host_labelled"), smooth(F.col("n_bad"), F.col("labelled"), parent_rate).alias("block_rate"))
+    out = rows.join(materialise(judged, "url-judged"), ["host", "template"])
+    by_template = F.when((F.col("host_labelled") >= LEAST_LABELS) & (F.col("block_rate") >= REJECT), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_template).alias("verdict"), "template", "n_labelled", "block_rate")

@@ -51,3 +51,14 @@ def test_pipeline_keeps_one_row_a_class(spark):
     assert got == {(3, text["a"], "s"), (7, text["b"], "s"), (7, text["c"], "s"), (None, text["e"], "s"), (9, near["f"], "s"), (5, None, "s"), (None, " ", "s"), *either[0], *either[1]}
     again = p.keep_one(spark, docs.orderBy("source", "n_chars").repartition(2), SF)
     assert again.count() == len(got) and {(r["doc_id"], r["text"], r["source"]) for r in again.collect()} == got
+
+
+def test_url_templates_reject_what_no_rule_names(spark, tmp_path):
+    junk, plain = "<p>" + "win*** $$$ " * 20 + "</p><!-- # -->", "<style>p{#*$%}</style><p>" + "a quiet page of plain words " * 9 + "</p>"
+    pages = [(i, f"http://bets.org/en/{i}", junk) for i in range(30)] + [(100 + i, f"http://bets.org/{'ab'[i % 2]}/x/{i}", None) for i in range(10)]
+    pages += [(200 + i, f"http://calm.org/en/{i}", plain) for i in range(30)] + [(300 + i, f"http://few.net/en/{i}", None) for i in range(9)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in queries.op9_url_templates(spark, str(tmp_path)).collect()}
+    assert len(got) == len(pages) and all(r["rule"] is None for r in got.values())
+    assert {i for i, r in got.items() if r["verdict"] == "block"} == {i for i, u, _ in pages if "bets" in u}
+    assert all(got[i]["n_labelled"] == 0 for i in range(100, 110))
