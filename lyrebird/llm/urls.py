@@ -1,8 +1,9 @@
 """URL filters: host and path rules, and for all other pages a tree of path templates with labelled purity.
 
-The tree grows level by level over all hosts at once. At a node, segments that look like numbers, hashes or dates, or
-that hold too small a share of the node's pages, become the wildcard; labelled branches whose rates of bad pages don't
-differ significantly are merged, and so are those without labels. A template is rejected by its smoothed rate.
+The tree grows level by level over all hosts at once, to the paths' ends. At a node, segments that look like numbers,
+hashes or dates, or that have too few pages to tell anything, become the wildcard; labelled branches whose rates of bad
+pages don't differ significantly are merged, and so are those with too few labels. A template is rejected by its
+smoothed rate.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 from lyrebird.llm.shared import materialise
 
-#: A branch of its own needs this share of its node's pages, so no node has more than CHILDREN of them.
-CHILDREN = 32
-#: Segments deeper than this fold into one "**".
-DEPTH = 8
+#: A branch of its own has so many pages, whatever its node's size; below a node with fewer there is only the wildcard.
+LEAST_PAGES = 5
+#: Branches of a node are first pooled by rates in steps of 1 / RATES.
+RATES = 32
 #: Smoothing: labelled pages that the host's and the corpus's rates count as. Significance of a difference of rates.
 WEIGHT, Z = 5.0, 1.96
 #: A template is rejected at this smoothed rate of bad pages, if its host has so many labelled ones.
@@ -53,32 +54,44 @@ def junk_text(html: Column) -> Column:
 
 
 def _grow(rows: DataFrame, level: int) -> DataFrame:
-    """The rows one level further down: template gets the branch that the next segment belongs to."""
-    seg = F.when(F.size("segs") > level, F.when(F.lit(level < DEPTH), F.get("segs", F.lit(level))).otherwise(F.lit("**")))
+    """The rows one level further down: template gets the branch that the next segment belongs to; more: it has branches.
+
+    All rows have a segment at this level. Below a branch with under LEAST_PAGES pages all segments are wildcards.
+    """
+    seg = F.get("segs", F.lit(level))
     at = rows.withColumn("seg", F.when(seg.rlike(VARIABLE), F.lit("*")).otherwise(seg))
     # The rows' own columns are named apart, so that no join meets a clash.
-    counts = at.where(F.col("seg").isNotNull()).groupBy("host", "template", "seg").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
-    nodes = counts.groupBy("host", "template").agg(F.sum("n").alias("n_node"))
-    shared = counts.join(nodes, ["host", "template"])
-    own = F.when(F.col("n") * CHILDREN >= F.col("n_node"), F.col("seg")).otherwise(F.lit("*"))
-    literal = shared.withColumn("branch", own).groupBy("host", "template", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("n_bad").alias("n_bad"))
-    # At most CHILDREN + 1 branches a node, in the order of their rates; a significant step begins a new group.
+    counts = at.groupBy("host", "template", "seg").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
+    own = F.when(F.col("n") >= LEAST_PAGES, F.col("seg")).otherwise(F.lit("*"))
+    sums = (F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("n_bad").alias("n_bad"))
+    literal = counts.withColumn("branch", own).groupBy("host", "template", "branch").agg(*sums)
+    known = F.col("labelled") >= LEAST_LABELS
+    step_of = F.when(known, F.floor(RATES * F.col("n_bad") / F.col("labelled"))).otherwise(F.lit(-1))
+    literal = materialise(literal.withColumn("bin", step_of.cast("int")), "url-branches")
+    # At most RATES + 2 bins a node, in the order of their rates; a significant step begins a new group.
+    ends = (F.min("branch").alias("first"), F.max("branch").alias("last"), F.count("*").alias("k"))
+    bins = literal.groupBy("host", "template", "bin").agg(*sums, *ends)
     rate = (F.col("n_bad") + 0.5) / (F.col("labelled") + 1.0)
-    side = Window.partitionBy("host", "template", F.col("labelled") > 0).orderBy("rate", "branch")
+    side = Window.partitionBy("host", "template", F.col("bin") >= 0).orderBy("bin")
     before = lambda c: F.lag(c).over(side)
     pooled = (F.col("n_bad") + before("n_bad") + 0.5) / (F.col("labelled") + before("labelled") + 1.0)
     error = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("labelled") + 1.0) + 1 / (before("labelled") + 1.0)))
     step = F.when(before("rate").isNotNull() & (F.col("rate") - before("rate") > Z * error), 1).otherwise(0)
-    grouped = literal.withColumn("rate", rate).withColumn("step", step).withColumn("grp", F.sum("step").over(side))
-    names = F.array_join(F.sort_array(F.collect_list("branch")), "|")
-    merged = grouped.groupBy("host", "template", (F.col("labelled") > 0).alias("known"), "grp").agg(F.collect_list("branch").alias("branches"), names.alias("name"))
-    merged = merged.select("host", "template", F.explode("branches").alias("branch"), F.when(F.size("branches") > 1, F.concat(F.lit("{"), "name", F.lit("}"))).otherwise(F.col("name")).alias("name"))
-    table = materialise(merged, "url-branches")
-    literals = table.where(F.col("branch") != "*").select("host", "template", F.col("branch").alias("seg"), "name")
-    wild = table.where(F.col("branch") == "*").select("host", "template", F.col("name").alias("wild"))
+    grouped = bins.withColumn("rate", rate).withColumn("step", step).withColumn("grp", F.sum("step").over(side))
+    group = Window.partitionBy("host", "template", F.col("bin") >= 0, "grp")
+    first, last, k = F.min("first").over(group), F.max("last").over(group), F.sum("k").over(group)
+    middle = F.when(k > 2, F.concat(F.lit("|+"), k - 2, F.lit("|"))).otherwise(F.lit("|"))
+    name = F.when(k == 1, first).otherwise(F.concat(F.lit("{"), first, middle, last, F.lit("}")))
+    names = grouped.select("host", "template", "bin", name.alias("name"), F.sum("n").over(group).alias("pages"))
+    table = materialise(literal.join(names, ["host", "template", "bin"]).select("host", "template", "branch", "name", "pages"), "url-names")
+    literals = table.where(F.col("branch") != "*").select("host", "template", F.col("branch").alias("seg"), "name", "pages")
+    wild = table.where(F.col("branch") == "*").select("host", "template", F.col("name").alias("wild"), F.col("pages").alias("wild_pages"))
     out = at.join(literals, ["host", "template", "seg"], "left").join(wild, ["host", "template"], "left")
-    step_down = F.when(F.col("seg").isNotNull(), F.concat("template", F.lit("/"), F.coalesce("name", "wild"))).otherwise(F.col("template"))
-    return materialise(out.withColumn("template", step_down).drop("seg", "name", "wild"), "url-rows")
+    below = F.size("segs") - (level + 1)
+    more = (below > 0) & (F.coalesce("pages", "wild_pages") >= LEAST_PAGES)
+    rest = F.when(more, F.lit("")).otherwise(F.repeat(F.lit("/*"), below))
+    down = out.withColumns({"template": F.concat("template", F.lit("/"), F.coalesce("name", "wild"), rest), "more": more})
+    return materialise(down.drop("seg", "name", "pages", "wild", "wild_pages"), "url-rows")
 
 
 def url_filter(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, bad: Column | None = None) -> DataFrame:
@@ -96,10 +109,12 @@ def url_filter(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
     rows = rows.withColumns({"rule": rule, "by_rule": verdict})
     label = (F.col("by_rule") == "block").cast("int")
     rows = rows.withColumn("bad", label if bad is None else F.coalesce(label, "bad"))
-    rows = materialise(rows.withColumns({"segs": F.array_remove(F.split("path", "/"), ""), "template": F.lit("")}), "url-rows")
-    deepest = min(rows.agg(F.max(F.size("segs")).alias("d")).first()["d"] or 0, DEPTH + 1)
-    for level in range(deepest):
-        rows = _grow(rows, level)
+    segs = F.array_remove(F.split("path", "/"), "")
+    now = materialise(rows.withColumns({"segs": segs, "template": F.lit(""), "more": F.size(segs) > 0}), "url-rows")
+    rows, level = now.where("NOT more"), 0
+    while not (going := now.where("more")).isEmpty():
+        now = _grow(going, level)
+        rows, level = rows.unionByName(now.where("NOT more")), level + 1
     total = rows.agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")).first()
     prior = (total["n_bad"] + 1.0) / (total["labelled"] + 2.0)
     sums = (F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))

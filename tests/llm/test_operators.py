@@ -373,6 +373,20 @@ def test_templates_are_rejected_by_their_labels(spark):
     assert all(r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in got)
 
 
+def test_small_sections_of_large_nodes_and_deep_paths_count(spark):
+    from lyrebird.llm.urls import url_filter
+
+    deep = "/".join("abcdefghij")
+    urls = [f"http://h.org/s{s}/{i}" for s in range(60) for i in range(10)] + [f"http://h.org/{deep}/{x}/{i}" for x in ("bad", "good") for i in range(8)] + ["http://h.org/lone/a/b", "http://h.org/"]
+    bad = lambda u: int("/s7/" in u or "/s8/" in u or "/bad/" in u)
+    pages = [(i, u, bad(u)) for i, u in enumerate(urls)]
+    got = {r["page_id"]: r for r in rows(url_filter(spark.createDataFrame(pages, "page_id int, url string, label int"), rules=(), bad=F.col("label")))}
+    assert len(got) == len(pages) and all(got[i]["verdict"] == ("block" if b else "allow") for i, _, b in pages)
+    of = lambda part: {got[i]["template"] for i, u, _ in pages if part in u}
+    assert of("/s7/") == of("/s8/") == {"/{s7|s8}/*"} and len(of("/s1/") | of("/s9/")) == 1 and "|+" in of("/s1/").pop()
+    assert of("/bad/").pop().endswith("/j/bad/*") and of("/good/").pop().endswith("/j/good/*") and of("/lone/") == {"/*/*/*"}
+
+
 # Quality
 
 
