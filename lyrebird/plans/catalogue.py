@@ -379,6 +379,11 @@ def text_normalize_unicode(spark, d):
     return t(spark, d, "documents").select("doc_id", text.normalise_unicode(F.substring("text", 1, 200)).alias("head"))
 
 
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(strip_accents(lower(text)), '&', ' and '), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents""")
+def text_normalize_whole(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.md5(text.normalise_unicode(F.col("text")).cast("binary")).alias("digest"))
+
+
 @query()
 def similarity_pairs(spark, d):
     p = t(spark, d, "part").select("p_name").distinct()

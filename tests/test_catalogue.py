@@ -21,3 +21,10 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_texts_are_normalised_to_their_ends(spark, tmp_path):
+    docs = [(1, "a " * 150 + "Énd"), (2, "a " * 150 + "ending"), (3, "A " * 150 + "end")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["digest"] for r in catalogue.QUERIES["text_normalize_whole"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[3] != got[2]
