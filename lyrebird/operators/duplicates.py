@@ -15,6 +15,15 @@ def by_id(rows: DataFrame, existing: DataFrame, key: str, seq: list[str], carry:
     return rows.join(first.select(key, *(F.col(c).alias(f"existing_{c}") for c in carry)), key)
 
 
+def first_other(rows: DataFrame, key: str, row_id: str) -> DataFrame:
+    """rows joined with the first other row of their key, by row_id; existing_ is its row_id. Rows alone are left out."""
+    some = rows.where(F.col(key).isNotNull())
+    first = some.groupBy(key).agg(F.min(row_id).alias("__first"))
+    second = some.join(first, key).where(F.col(row_id) > F.col("__first")).groupBy(key, "__first").agg(F.min(row_id).alias("__second"))
+    other = F.when(F.col(row_id) == F.col("__first"), F.col("__second")).otherwise(F.col("__first"))
+    return some.join(second, key).withColumn(f"existing_{row_id}", other).drop("__first", "__second")
+
+
 def fuzzy(rows: DataFrame, existing: DataFrame, row_id: str, block: str, artist: Column, album: Column, ids_differ: Column, order: list[str]) -> DataFrame:
     """The best existing row of each row within its block, ties to the first in order; at least LEAST.
 

@@ -184,8 +184,8 @@ def _parts(spark, d):
 def dup_blocked_fuzzy(spark, d):
     p = _parts(spark, d)
     other = p.select("block", *(F.col(c).alias(f"existing_{c}") for c in ("p_partkey", "p_brand", "p_type")))
-    rows, old = p.where("p_partkey % 2 = 1"), other.where("existing_p_partkey % 2 = 0")
-    out = duplicates.fuzzy(rows, old, "p_partkey", "block", text.similarity("p_brand", "existing_p_brand"), text.similarity("p_type", "existing_p_type"), F.lit(False), ["existing_p_partkey"])
+    itself = F.col("p_partkey") == F.col("existing_p_partkey")
+    out = duplicates.fuzzy(p, other, "p_partkey", "block", text.similarity("p_brand", "existing_p_brand"), text.similarity("p_type", "existing_p_type"), itself, ["existing_p_partkey"])
     return out.select("p_partkey", "existing_p_partkey", "score")
 
 
@@ -204,6 +204,25 @@ def dup_two_pass(spark, d):
     return first.unionByName(second)
 
 
+@query("""WITH r AS (SELECT md5(text) AS id, doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents)
+SELECT d.doc_id, f.doc_id AS existing_doc_id FROM r AS d JOIN r AS f ON d.id = f.id AND f.r = CASE WHEN d.r = 1 THEN 2 ELSE 1 END""")
+def dup_exact_id_all(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("id"))
+    return duplicates.first_other(docs, "id", "doc_id").select("doc_id", "existing_doc_id")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand, lower(p_name) || ' ' || p_size AS block FROM part),
+i AS (SELECT a.p_partkey, min(b.p_partkey) AS e FROM p AS a JOIN p AS b ON a.block = b.block AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey GROUP BY 1),
+o AS (SELECT a.p_partkey, min(b.p_partkey) AS e FROM p AS a JOIN p AS b ON a.block = b.block AND a.p_partkey <> b.p_partkey GROUP BY 1)
+SELECT p_partkey, 'id' AS kind, e AS existing_p_partkey FROM i UNION ALL SELECT p_partkey, 'block', e FROM o WHERE p_partkey NOT IN (SELECT p_partkey FROM i)""")
+def dup_two_pass_all(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.concat_ws(" ", F.lower("p_name"), F.col("p_size").cast("string")).alias("block"), "p_brand")
+    out = ["p_partkey", "kind", "existing_p_partkey"]
+    first = duplicates.first_other(p.withColumn("id", F.struct("block", "p_brand")), "id", "p_partkey").withColumn("kind", F.lit("id")).select(*out)
+    second = duplicates.first_other(p, "block", "p_partkey").withColumn("kind", F.lit("block")).select(*out)
+    return first.unionByName(second.join(first.select("p_partkey"), "p_partkey", "left_anti"))
+
+
 # Resolution
 
 
@@ -515,6 +534,11 @@ def json_props(spark, d):
     return files.parsed(e, "p", "k int").select("event_id", "k")
 
 
+@query("""SELECT event_id, (props::JSON->>'k')::INTEGER AS k FROM events WHERE props IS NOT NULL""")
+def json_props_all(spark, d):
+    return files.parsed(t(spark, d, "events").select("event_id", "props"), "props", "k int").select("event_id", "k")
+
+
 @query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE ts >= TIMESTAMP '2024-01-23') WHERE r = 1""")
 def cache_ttl(spark, d):
     live = ledger.fresh(t(spark, d, "events"), F.col("ts"), F.lit("2024-01-30").cast("timestamp"), F.expr("INTERVAL 7 DAYS"))

@@ -28,3 +28,13 @@ def test_texts_are_normalised_to_their_ends(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["digest"] for r in catalogue.QUERIES["text_normalize_whole"](spark, str(tmp_path)).collect()}
     assert got[1] == got[3] != got[2]
+
+
+def test_copies_of_one_parity_are_found(spark, tmp_path):
+    parts = [(k, "A b", 3, "Brand#11", "TIN") for k in (2, 4, 6)] + [(9, "C d", 3, "Brand#11", "TIN"), (11, "C d", 3, "Brand#12", "TIN"), (12, "E f", 1, "Brand#11", "TIN")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, "x"), (3, "x"), (4, "y"), (5, None), (7, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda name: sorted(tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect())
+    assert [x[:2] for x in found("dup_blocked_fuzzy")] == [(2, 4), (4, 2), (6, 2), (9, 11), (11, 9)]
+    assert found("dup_exact_id_all") == [(1, 3), (3, 1)]
+    assert found("dup_two_pass_all") == [(2, "id", 4), (4, "id", 2), (6, "id", 2), (9, "block", 11), (11, "block", 9)]
