@@ -2,17 +2,26 @@
 
 Found values are validated, then permuted within their format, so a value gets the same pseudonym in every document
 and two values never share one. Characters are permuted within their class (a-z, 0-9), numbers modulo two factors of
-their domain's size: card numbers keep a right check digit, addresses their octets' range, dates a real day.
+their domain's size: card numbers keep a right check digit, addresses their octets' range, dates a real day. A date with
+slashes is read day first where it can be, else month first; these two kinds are permuted each within its own, so a
+pseudonym is read as its value was.
+
+Plans hold no key, but a digest of it for each kind of value, which is what the rounds take: whoever sees a plan or an
+event log can undo its pseudonyms, though not learn the key. Keep these as you keep the key.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 #: 400 Gregorian years have 146,097 = 189 * 773 days; 898 areas, 99 groups and 9999 serials make an SSN.
 DAY_0, DAYS = "1800-01-01", (189, 773)
+#: Of these days, 88,497 = 9 * 9833 are after the twelfth of their month; a month has 18.436875 of them.
+LATE, LATE_DAYS, LATE_A_MONTH = 12, (9, 9833), 18.436875
 SSN = (898, 99 * 9999)
 
 _L, _R = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
@@ -28,8 +37,13 @@ _SHAPES = {k: p.split(")", 1)[1] for k, p in PATTERNS.items()}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+def subkey(key: str, kind: str) -> str:
+    """What stands for the key in the rounds of one kind of value."""
+    return hashlib.sha256(f"{len(key)}|{key}|{kind}".encode()).hexdigest()
+
+
 def _digest(key: str, kind: str, r: Column, x: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), x.cast("string")), 256)
+    return F.sha2(F.concat_ws("|", F.lit(subkey(key, kind)), r.cast("string"), x.cast("string")), 256)
 
 
 def _number(hexed: Column, start: Column | int, n: int) -> Column:
@@ -127,20 +141,36 @@ def _ip(x: Column, key: str) -> Column:
     return F.when(F.forall(parts, lambda p: p < 256), _let(_integer(n, key, "ip", (65536, 65536)), shown))
 
 
+def _late_place(day: Column) -> Column:
+    """The number of a day after the twelfth among all such days."""
+    months = (F.year(day) - 1800) * 12 + F.month(day) - 1
+    return (F.datediff(day, F.lit(DAY_0).cast("date")) - LATE * (months + 1)).cast("long")
+
+
+def _late_day(n: Column) -> Column:
+    """The day with this number. Months differ by few days from their mean, so one of three is the right one."""
+    about = F.floor(n / LATE_A_MONTH).cast("int")
+    first = lambda m: F.add_months(F.lit(DAY_0).cast("date"), m)
+    begins = lambda m: F.datediff(first(m), F.lit(DAY_0).cast("date")) - LATE * m
+    month = F.when(begins(about + 1) <= n, about + 1).when(begins(about) <= n, about).otherwise(about - 1)
+    return _let(month, lambda m: F.date_add(F.lit(DAY_0).cast("date"), (n + LATE * (m + 1)).cast("int")))
+
+
 def _date(x: Column, key: str) -> Column:
-    """In the shape that it has; null where it is no day of the years 1800 to 2199. Slashes: day first, else month first."""
+    """In the shape that it has; null where it is no day of the years 1800 to 2199."""
+    first, last = F.lit(DAY_0).cast("date"), F.lit("2199-12-31").cast("date")
 
-    def as_format(f: str) -> Column:
-        return F.try_to_timestamp(x, F.lit(f)).cast("date")
+    def moved(day: Column, f: str) -> Column:
+        return _let(_integer(F.datediff(day, first).cast("long"), key, "date", DAYS), lambda n: F.date_format(F.date_add(first, n.cast("int")), f))
 
-    def in_format(f: str):
-        return lambda n: F.date_format(F.date_add(F.lit(DAY_0).cast("date"), n.cast("int")), f)
+    def moved_late(day: Column, f: str) -> Column:
+        return _let(_integer(_late_place(day), key, "late date", LATE_DAYS), lambda n: F.date_format(_late_day(n), f))
 
     out = F.lit(None).cast("string")
-    for shape, f in reversed((("____-__-__", "yyyy-MM-dd"), ("__/__/____", "dd/MM/yyyy"), ("__/__/____", "MM/dd/yyyy"), ("__.__.____", "dd.MM.yyyy"))):
-        day = as_format(f)
-        moved = _let(_integer(F.datediff(day, F.lit(DAY_0).cast("date")).cast("long"), key, "date", DAYS), in_format(f))
-        out = F.when(x.like(shape) & day.between(F.lit(DAY_0).cast("date"), F.lit("2199-12-31").cast("date")), moved).otherwise(out)
+    forms = (("____-__-__", "yyyy-MM-dd", moved), ("__/__/____", "dd/MM/yyyy", moved), ("__/__/____", "MM/dd/yyyy", moved_late), ("__.__.____", "dd.MM.yyyy", moved))
+    for shape, f, move in reversed(forms):
+        day = F.try_to_timestamp(x, F.lit(f)).cast("date")
+        out = F.when(x.like(shape) & day.between(first, last), move(day, f)).otherwise(out)
     return out
 
 
@@ -150,9 +180,11 @@ _NEW = {"email": _email, "phone": _phone, "card": _card, "ssn": _ssn, "ip": _ip,
 def pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the personal data in text replaced, and n_email, n_phone, n_card, n_ssn, n_ip and n_date (long).
 
-    Values that aren't valid stay: wrong check digits, octets over 255, days that don't exist. A null text stays null
-    and one without personal data stays as it is. Emails are compared and shown in lower case. Rows are worked on one by
-    one, in one projection without a shuffle; columns of docs that have the name of a count are replaced.
+    Values that aren't valid stay: wrong check digits, octets over 255, days that don't exist. A null text stays null,
+    an empty one empty, and one without personal data as it is; its counts are 0. Texts are read to their ends, however
+    long. Emails are compared and shown in lower case. Rows are worked on one by one, in one projection without a shuffle,
+    so rows that repeat get equal results, and no rows give none. Nulls in other columns pass through; columns of docs
+    that have the name of a count are replaced.
     """
     x = F.col(text)
 
