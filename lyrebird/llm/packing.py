@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from lyrebird.llm.shared import materialise, ship
 from lyrebird.llm.tokens import crc32s, encoder, small_batches, with_end
 
-#: Pieces that one task ranks, about; a length with more of them is dealt over several.
-RANKED_TOGETHER = 200_000
+#: Pieces of a length that are ranked together, about; a length with more of them is dealt, into parts of at least this
+#: and at most as many as their square root, so that neither a part nor the table of parts outgrows a task.
+RANKED_TOGETHER = 1000
 
 
 def best_two_fit(counts: dict[int, int], max_len: int) -> list[tuple[list[int], int]]:
@@ -107,10 +109,12 @@ def pack(pieces: DataFrame, max_len: int) -> DataFrame:
     """
     ship(pieces.sparkSession)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most max_len rows
-    deal = max(1, -(-sum(counts.values()) // RANKED_TOGETHER))
+    deals = [-(-n // max(RANKED_TOGETHER, isqrt(n))) for n in (counts.get(x, 0) for x in range(max_len + 1))]
+    deal = F.get(F.split(F.lit(",".join(map(str, deals))), ",").cast("array<int>"), F.col("length").cast("int"))
+    dealt = pieces.withColumn("__deal", F.pmod(F.xxhash64("doc_id", "piece"), deal))
     own = Window.partitionBy("length", "__deal").orderBy("doc_id", "piece", "start")
-    ranked = pieces.withColumn("__deal", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(deal))).withColumn("__rank", F.row_number().over(own) - 1)
-    sizes = pieces.groupBy("length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(deal)).alias("__deal")).agg(F.count("*").alias("__n"))
+    ranked = dealt.withColumn("__rank", F.row_number().over(own) - 1)
+    sizes = dealt.groupBy("length", "__deal").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__deal").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "__deal", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     ranked = ranked.join(bases, ["length", "__deal"]).withColumn("__rank", F.col("__rank") + F.col("__base")).drop("__deal", "__base")
