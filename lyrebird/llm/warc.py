@@ -8,6 +8,7 @@ offset in that frame's content. Tasks stream what they write and read one frame
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -170,7 +171,8 @@ def read_archive(spark: SparkSession, folder: str, bundles: DataFrame, id_type:
     """All records of the named bundles (column bundle), read frame by frame after their own seek tables.
 
     A response's size and digest are those of the payload that was read, and must equal its header's; a revisit's are
-    its header's. with_payload adds the bytes, null for revisits. The frames of all bundles are dealt over the tasks.
+    its header's. with_payload adds the bytes, null for revisits. The frames of all bundles are dealt over as many tasks
+    as their contents' bytes ask, a task having what it would read of a file (spark.sql.files.maxPartitionBytes).
     """
     ship(spark)
 
@@ -180,7 +182,7 @@ def read_archive(spark: SparkSession, folder: str, bundles: DataFrame, id_type:
             for name in batch.column("bundle").to_pylist():
                 with fs.open_input_file(f"{path}/{name}") as f:
                     got = seek_table(f)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(got)), *(pa.array(c, pa.int64()) for c in zip(*(x[:2] + x[3:] for x in got)))], ["bundle", "at", "size", "checksum"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(got)), *(pa.array(c, pa.int64()) for c in zip(*got))], ["bundle", "at", "size", "content", "checksum"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _fs(folder)
@@ -210,8 +212,17 @@ def read_archive(spark: SparkSession, folder: str, bundles: DataFrame, id_type:
             raise ValueError(f"the payload of {page} is damaged")
         return page, head.get("WARC-Target-URI"), kind, None, size, digest, payload
 
-    found = bundles.select("bundle").distinct().mapInArrow(frames, "bundle string, at long, size long, checksum long")
-    return found.repartition("bundle", "at").mapInArrow(parse, schema)
+    found = materialise(bundles.select("bundle").distinct().mapInArrow(frames, "bundle string, at long, size long, content long, checksum long"), "warc-frames")
+    content = found.agg(F.coalesce(F.sum("content"), F.lit(0))).first()[0]
+    # A number that is given stays: by their own few bytes these rows would be taken together in one task.
+    tasks = max(1, -(-content // _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))))
+    return found.repartition(tasks, "bundle", "at").mapInArrow(parse, schema)
+
+
+def _bytes(size: str) -> int:
+    """A size as Spark's settings spell it."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", size.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit.rstrip("b")[:1]]
 
 
 def fetch(index_row, folder: str) -> tuple[dict[str, str], bytes]:
