@@ -41,11 +41,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     has a Poisson number of copies, with its source's target over its rows as the mean: `copy` numbers them from 0, and
     shuffle_key gives the global order. Partitions are random by that key and sorted by it.
     A null source is a source of its own (its weight: that of ""). Draws depend on seed, doc_id and source alone, so
-    rows that repeat are copied equally often; a null doc_id counts as "". Columns of docs with these names are
-    replaced. Rows are counted over all docs, combined before the shuffle; the table of sources is joined as Spark sees
+    rows that repeat are copied equally often. A null doc_id is replaced by a hash of the row in draws and in the order,
+    so rows without an id are drawn one by one and spread. Columns of docs with these names are replaced. Rows are counted over all docs, combined before the shuffle; the table of sources is joined as Spark sees
     fit by its size. No rows give none.
     """
     own = F.coalesce(F.col(source), F.lit(""))
+    # A row without an id is told apart by all that it holds; maps have no hash.
+    hashed = {f.name for f in docs.schema if "map<" not in f.dataType.simpleString()} - {"copy", "shuffle_key"}
+    ident = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("row "), F.xxhash64(*(F.col(f"`{c}`") for c in sorted(hashed))).cast("string")))
     counts = docs.groupBy(F.col(source).alias("__source")).agg(F.count("*").alias("__n"))
     if weights is None:
         weight = F.pow(F.col("__n").cast("double"), F.lit(temperature))
@@ -58,10 +61,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     scale = size * (total["n"] or 0) / total["w"] if total["w"] else 0.0
     rates = counts.select("__source", (F.col("__weight") * F.lit(scale) / F.col("__n")).alias("__rate"))
     draws = F.greatest(F.ceil(F.col("__rate") / ONE_DRAW), F.lit(1)).cast("int")
-    one = lambda j: poisson(uniform(seed, F.col(doc_id), own, j), F.col("__rate") / draws)
+    one = lambda j: poisson(uniform(seed, F.col("__ident"), own, j), F.col("__rate") / draws)
     n = F.aggregate(F.transform(F.sequence(F.lit(0), draws - 1), one), F.lit(0), lambda s, x: s + x)
-    rows = docs.drop("copy", "shuffle_key").join(rates, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__copies", n)
+    rows = docs.drop("copy", "shuffle_key").withColumn("__ident", ident).join(rates, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__copies", n)
     numbers = F.when(F.col("__copies") > 0, F.sequence(F.lit(0), F.col("__copies") - 1))  # null: no row
     copies = rows.withColumn("copy", F.explode(numbers)).drop("__source", "__rate", "__copies")
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), own, F.col("copy").cast("string")))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("__ident"), own, F.col("copy").cast("string")))
+    return copies.withColumn("shuffle_key", key).drop("__ident").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
