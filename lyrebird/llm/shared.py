@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,20 @@ from lyrebird.functions.workers import ship  # noqa: F401  the operators take it
 SPACE = r"\x20\x09-\x0D"
 #: Bytes A-Z to a-z, all others unchanged.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Tables that materialise() wrote, and their paths.
+_written: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local folder will do for a local master (tests); on a cluster it is an error, as each executor
+    would write to its own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = Path(tempfile.mkdtemp(prefix="lyrebird-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(_remove, spark, base)
@@ -48,7 +57,17 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialise() wrote and that no later step reads."""
+    for df in tables:
+        held, path = _written.pop(id(df), (None, None))
+        if held is not None and held() is df:
+            _remove(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
