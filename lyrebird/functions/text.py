@@ -90,6 +90,26 @@ def likeness(a: str | None, b: str | None, **how: bool) -> float:
     return 1.0 if x == y else max(indel_ratio(x, y), token_set_ratio(x, y))
 
 
+def bare_title(c: Column) -> Column:
+    """A title without the track number of one or two digits that a file's name put before it; null if there is none."""
+    got = F.regexp_extract(F.trim(c), r"(?U)^\d{1,2}\s+([^\W\d].*)$", 1)
+    return F.nullif(F.trim(got), F.lit(""))
+
+
+def host_name(c: Column) -> Column:
+    """The host of host:port in lower case; brackets of an address stay."""
+    s = F.lower(F.trim(c))
+    return F.when(s.startswith("["), F.concat(F.substring_index(s, "]", 1), F.lit("]"))).when(F.contains(s, F.lit(":")), F.regexp_replace(s, ":[^:]*$", "")).otherwise(s)
+
+
+@F.pandas_udf(T.DoubleType())
+def song_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """likeness() without featured guests and leading articles."""
+    for a, b in pairs:
+        known = {p: likeness(*p, drop_articles=True, drop_guests=True) for p in set(zip(a, b))}
+        yield pd.Series([known[p] for p in zip(a, b)], index=a.index, dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """likeness() of two columns, each distinct pair once a batch."""
@@ -139,8 +159,11 @@ def clock(seconds: Column) -> Column:
 
 
 def version_key(c: Column) -> Column:
-    """A struct that sorts like the version does: a pre-release comes before its release. Null if it is none."""
-    m = r"^v?(\d+)(?:\.(\d+))?(?:\.(\d+))?(?:-([0-9A-Za-z.-]+))?(?:\+.*)?$"
+    """A struct that sorts like the version does: one with a suffix after "-" or "+" comes before its release. Null if it
+    is none."""
+    c = F.trim(c)
+    #: Fixed value: what a version looks like.
+    m = r"^v?(\d+)(?:\.(\d+))?(?:\.(\d+))?(?:[-+](.+))?$"
     part = lambda i: F.coalesce(F.regexp_extract(c, m, i).try_cast("int"), F.lit(0))
     pre = F.regexp_extract(c, m, 4)
     return F.when(c.rlike(m), F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), (pre == "").alias("release"), pre.alias("pre")))
@@ -156,6 +179,7 @@ def path_guess(path: Column, root: str | None = None) -> Column:
     parts = F.split(path, "/")
     part = lambda k: F.coalesce(F.get(parts, F.size(parts) - k), F.lit(""))
     stem = F.trim(F.regexp_replace(part(1), r"(?<=.)\.[^.]*$", ""))
+    # The shapes of file names and folders.
     shapes = (
         (r"^(\d{1,2})[-.](\d{1,3})\s*[-._)]\s*(.+)$", {"disc": 1, "track": 2, "title": 3}),
         (r"^(\d{1,3})\s*[-._)]\s*(.+?)\s+-\s+(.+)$", {"track": 1, "artist": 2, "title": 3}),

@@ -82,6 +82,35 @@ def facet(df: DataFrame, key: str, blank: str = "?") -> DataFrame:
     return df.groupBy(F.coalesce(F.nullif(F.col(key), F.lit("")), F.lit(blank)).alias(key)).agg(F.count("*").alias("n"))
 
 
+def tally(df: DataFrame, what: Column, names: tuple[str, ...], as_: str = "outcome") -> DataFrame:
+    """A row a name with the number of rows that have it, 0 included, from one pass."""
+    counts = df.withColumn("__w", what).agg(*(F.count_if(F.col("__w") == x).alias(x) for x in names))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(x).alias(as_), F.col(x).alias("n")) for x in names))).alias("s")).select("s.*")
+
+
+def stats(df: DataFrame, confidence: str, status: str, analysed: str, points: str, issues: str) -> DataFrame:
+    """One row: total, a count a bucket, analysed, applied, errors, a count a severity, and the mean of the points.
+
+    Only analysed rows' issues and points count; without one the mean is null.
+    """
+    done = F.coalesce(F.col(analysed), F.lit(False))
+    one = lambda s: F.sum(F.when(done, F.size(F.filter(issues, lambda i: i["severity"] == s))).otherwise(0)).cast("long").alias(f"issues_{s}")
+    b = bucket(F.col(confidence))
+    return df.agg(
+        F.count("*").alias("total"), *(F.count_if(b == x).alias(x if x != "high" else "high_bucket") for x in ("high", "review", "low", "unidentified")), F.count_if(done).alias("analysed"),
+        F.count_if(F.col(status) == "applied").alias("applied"), F.count_if(F.col(status) == "error").alias("errors"), *(one(s) for s in SEVERITIES), F.bround(F.avg(F.when(done, F.col(points))), 1).alias("average"),
+    )
+
+
+def by_severity(issues: Column) -> Column:
+    """The issues, the worst first, otherwise in their order."""
+
+    def of(severity: str) -> Column:
+        return F.filter(issues, lambda i: i["severity"] == severity)
+
+    return F.concat(*map(of, SEVERITIES))
+
+
 def score(penalties: Column) -> Column:
     """100 less the penalties, between 0 and 100."""
     return F.greatest(F.lit(0), F.least(F.lit(100), F.lit(100) - penalties))

@@ -47,21 +47,58 @@ def merge_scan(old: DataFrame, new: DataFrame, key: str, version: str, kept: lis
 def destinations(rows: DataFrame, folder: str, name: str, suffix: str, seq: str) -> DataFrame:
     """dest: name and suffix, with " (n)" where the folder has it already in any case, in the order of seq.
 
-    A numbered name can itself be another row's, so a folder is worked through in order, in one task.
+    Numbers go on from 2 without an end, so no two rows of a folder ever share a destination. A numbered name can itself
+    be another row's, but only that of one with the same stem: these few are worked through in order, a stem at a time,
+    and all others are numbered by a window.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    stem = F.struct(F.col(folder), F.lower(F.regexp_replace(F.col(name), r"( \(\d+\))+$", "")), F.lower(F.col(suffix)))
+    marked = rows.withColumns({"__stem": stem, "__own": F.col(name).rlike(r" \(\d+\)$")})
+    mixed = marked.groupBy("__stem").agg(F.bool_or("__own").alias("__mixed"))
+    marked = marked.join(mixed, "__stem")
+    number = F.row_number().over(Window.partitionBy(folder, F.lower(F.col(name)), F.lower(F.col(suffix))).orderBy(seq))
+    plain = marked.where("NOT __mixed").withColumn("__n", number)
+    numbered = F.when(F.col("__n") > 1, F.concat(F.lit(" ("), F.col("__n").cast("string"), F.lit(")"))).otherwise("")
+    plain = plain.withColumn("dest", F.concat(F.col(name), numbered, F.col(suffix)))
+    fields, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), rows.columns
 
     def assign(g: pd.DataFrame) -> pd.DataFrame:
-        g, taken, out = g.sort_values(seq, kind="stable"), set(), []
+        g, taken, after, out = g.sort_values(seq, kind="stable"), set(), {}, []
         for n, s in zip(g[name], g[suffix]):
-            dest, k = f"{n}{s}", 2
-            while dest.lower() in taken and k < 100:
+            dest, key = f"{n}{s}", f"{n}{s}".lower()
+            k = after.get(key, 2)
+            while dest.lower() in taken:
                 dest, k = f"{n} ({k}){s}", k + 1
+            after[key] = k
             taken.add(dest.lower())
             out.append(dest)
-        return g.assign(dest=out)
+        return g[names].assign(dest=out)
 
-    return rows.groupBy(folder).applyInPandas(assign, f"{fields}, dest string")
+    odd = marked.where("__mixed").groupBy("__stem").applyInPandas(assign, f"{fields}, dest string")
+    return plain.select(*rows.columns, "dest").unionByName(odd)
+
+
+def resolved(entries: DataFrame, marks: DataFrame, key: str, seq: str) -> DataFrame:
+    """Entries of an append-only log with what later marks say of them: ok and error of the last mark, else their own."""
+    last = marks.groupBy(key).agg(F.max_by(F.struct("ok", "error"), seq).alias("__m"))
+    of = lambda c: F.when(F.col("__m").isNotNull(), F.col(f"__m.{c}")).otherwise(F.col(c))
+    return entries.join(last, key, "left").withColumns({"ok": of("ok"), "error": of("error")}).drop("__m")
+
+
+def purged(rows: DataFrame, created: Column, now: Column, most: Column) -> DataFrame:
+    """What is left when rows older than most are thrown away."""
+    return rows.where(created >= now - most)
+
+
+def removed(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows without those of the keys, and the rows that go: no more than there are of the keys."""
+    return rows.join(keys.select(key), key, "left_anti"), rows.join(keys.select(key), key, "left_semi")
+
+
+def renamed(rows: DataFrame, moves: DataFrame, key: str, new: str) -> DataFrame:
+    """Rows under their new keys (moves: key and new, one row a key), which replace any that were there before."""
+    moved = rows.join(moves.select(key, F.col(new).alias("__new")), key).withColumn(key, F.col("__new")).drop("__new")
+    gone = moves.select(key).unionByName(moved.select(key))
+    return rows.join(gone, key, "left_anti").unionByName(moved.select(*rows.columns))
 
 
 def rendered(template: str, values: dict[str, Column]) -> Column:

@@ -70,13 +70,23 @@ def rated(df: DataFrame, group: list[str], score: str, same_song: Column, settle
     return out.withColumn("confidence", F.least("confidence", F.max(F.when(F.col("rank") == 1, F.col("confidence"))).over(all_)))
 
 
-def cascade(left: DataFrame, right: DataFrame, key: list[str], attempts: list[Callable[[DataFrame, DataFrame], DataFrame]]) -> DataFrame:
-    """Each attempt joins what no earlier one found; the result says which attempt (from 1) found a row."""
+def cascade(left: DataFrame, right: DataFrame, key: list[str], attempts: list[Callable[[DataFrame, DataFrame], DataFrame]], together: int = 3) -> DataFrame:
+    """What the first attempt (from 1) that finds anything for a row finds.
+
+    So many attempts at a time are made of the same rows, of which the first that succeeds counts; the next ones are
+    made of what these left over. One by one, each would hold all before it twice in its plan.
+    """
     out, rest = None, left
-    for n, attempt in enumerate(attempts, 1):
-        hits = attempt(rest, right).withColumn("attempt", F.lit(n))
+    w = Window.partitionBy(*key)
+    for at in range(0, len(attempts), together):
+        hits = None
+        for n, attempt in enumerate(attempts[at : at + together], at + 1):
+            one = attempt(rest, right).withColumn("attempt", F.lit(n))
+            hits = one if hits is None else hits.unionByName(one)
+        hits = hits.withColumn("__first", F.min("attempt").over(w)).where("attempt = __first").drop("__first")
         out = hits if out is None else out.unionByName(hits)
-        rest = rest.join(hits.select(*key).distinct(), key, "left_anti")
+        if at + together < len(attempts):
+            rest = rest.join(hits.select(*key).distinct(), key, "left_anti")
     return out
 
 
@@ -107,13 +117,74 @@ def consensus(df: DataFrame, group: list[str], key: str) -> DataFrame:
 
 
 def merged(df: DataFrame, key: list[str], seq: str, source: str, length: str, unverified: str, signal: str) -> DataFrame:
-    """Candidates of one key as one: the first one's source, with others that differ appended by "+"; the first length
-    there is; unverified only if all are; signals by name, the first of each."""
+    """Candidates of one key as one: the first one's source, with each later one that differs from the text so far appended
+    by "+"; the first length there is; unverified only if all are; signals by name, the first of each."""
     rows = F.sort_array(F.collect_list(F.struct(seq, source, length, unverified, signal)))
     g = df.groupBy(*key).agg(rows.alias("rows"), F.bool_and(unverified).alias(unverified), F.count("*").alias("n"))
-    sources = F.array_distinct(F.transform("rows", lambda r: r[source]))
     lengths = F.filter(F.transform("rows", lambda r: r[length]), lambda x: x.isNotNull() & (x > 0))
-    return g.select(*key, "n", F.array_join(sources, "+").alias(source), F.get(lengths, F.lit(0)).alias(length), unverified, F.array_join(F.array_distinct(F.transform("rows", lambda r: r[signal])), ",").alias("signals"))
+    signals = F.array_join(F.array_distinct(F.transform("rows", lambda r: r[signal])), ",")
+    return g.select(*key, "n", joined_sources(F.transform("rows", lambda r: r[source])).alias(source), F.get(lengths, F.lit(0)).alias(length), unverified, signals.alias("signals"))
+
+
+def joined_sources(sources: Column) -> Column:
+    """The sources in order, each appended by "+" unless it is the text so far."""
+    return F.aggregate(sources, F.lit(""), lambda s, x: F.when(s == "", x).when(s == x, s).otherwise(F.concat(s, F.lit("+"), x)))
+
+
+def cluster_cut(df: DataFrame, group: list[str], credited: Column, gap_s: Column, seq: list[str], keep: int = 8) -> DataFrame:
+    """The recordings of a fingerprint's result that are kept: those of the most credited artist first, then by how far
+    their lengths are off (unknown ones last), then in order."""
+    w = Window.partitionBy(*group).orderBy(F.when(F.coalesce(credited, F.lit(False)), 0).otherwise(1), F.coalesce(gap_s, F.lit(float("inf"))), *seq)
+    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep)
+
+
+def with_rival(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """rival_ of each column: what the second has for the first, and the first for all others; null for a lone one."""
+    w = Window.partitionBy(*group)
+    of = lambda r: F.max(F.when(F.col("rank") == r, F.struct(*columns))).over(w)
+    out = df.withColumn("__rival", F.when(F.col("rank") == 1, of(2)).otherwise(of(1)))
+    return out.withColumns({f"rival_{c}": F.col(f"__rival.{c}") for c in columns}).drop("__rival")
+
+
+def same_text(a: Column, b: Column) -> Column:
+    """Whether two values would be written the same, but for case and the space around them; null is empty."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return plain(a) == plain(b)
+
+
+def seat_score(same_id: Column, likeness: Column, gap_s: Column, same_number: Column) -> Column:
+    """How well a track fits an entry of a release's list: 2 if it is the very recording; else the likeness of the titles
+    (0.6 at least), a quarter of which an equal length stands for where both are known, and more for the same number.
+    Null: it doesn't."""
+    known = gap_s.isNotNull() & (gap_s < float("inf"))
+    score = F.when(known, likeness * 0.75 + F.when(gap_s <= 3, 0.25).otherwise(0.0)).otherwise(likeness)
+    score = score + F.when(F.coalesce(same_number, F.lit(False)), 0.15).otherwise(0.0)
+    return F.when(F.coalesce(same_id, F.lit(False)), 2.0).when((likeness >= 0.6) & (score >= 0.55), score)
+
+
+def agreed(confidence: Column, share: Column) -> Column:
+    """A seated track's confidence: raised by its folder's agreement, though never over 97."""
+    return F.bround(F.least(F.lit(97.0), confidence + 8.0 * share), 1)
+
+
+def agreed_album(confidence: Column, share: Column) -> Column:
+    """The album field's."""
+    return F.bround(F.least(F.lit(98.0), F.greatest(F.coalesce(confidence, F.lit(0.0)), 70 + 25 * share)), 1)
+
+
+def rescued(ranked: DataFrame, group: list[str], album: str, equivalent: Column, depth: int = 4) -> DataFrame:
+    """The winner of each group: the first if it has an album, else the best of the next ones (up to depth in all) that
+    has one and is the same recording, at the first one's confidence; else the first all the same."""
+    fit = (F.col("rank") == 1) | (equivalent & (F.col("rank") <= depth))
+    has = F.coalesce(F.col(album) != "", F.lit(False))
+    order = F.row_number().over(Window.partitionBy(*group).orderBy(F.when(fit & has, 0).when(F.col("rank") == 1, 1).otherwise(2), "rank"))
+    first = F.max(F.when(F.col("rank") == 1, F.col("confidence"))).over(Window.partitionBy(*group))
+    return ranked.withColumns({"__o": order, "__c": first}).where("__o = 1").withColumn("confidence", F.col("__c")).drop("__o", "__c")
+
+
+def passes(confidence: Column, least: Column | float) -> Column:
+    """Whether a match is applied: at least so sure."""
+    return F.coalesce(confidence >= least, F.lit(False))
 
 
 def seats(pairs: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:
@@ -144,9 +215,41 @@ def best_release(df: DataFrame, group: list[str], official: Column, kind: Column
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def field_confidence(overall: Column, reliability: float, likeness: Column | None = None) -> Column:
-    """overall by the field's reliability; likeness over 0.92 halves the gap to 100, under 0.5 takes a quarter off."""
+#: How far each field is trusted once a candidate is chosen.
+RELIABILITY = {
+    "title": 1.00, "artist": 0.98, "album": 0.92, "album_artist": 0.92, "track_no": 0.88, "track_total": 0.85, "disc_no": 0.90, "disc_total": 0.85, "date": 0.80, "year": 0.80,
+    "isrc": 0.95, "composer": 0.70, "genre": 0.55, "compilation": 0.90,
+}
+NUMBERS = ("track_no", "track_total", "disc_no", "disc_total")
+
+
+def field_confidence(overall: Column, reliability: float, likeness: Column | None = None, number_agrees: Column | None = None) -> Column:
+    """overall by the field's reliability; likeness over 0.92 halves the gap to 100, under 0.5 takes a quarter off, and a
+    track number that agrees takes two fifths of the gap."""
     c = overall * reliability
     if likeness is not None:
         c = F.when(likeness > 0.92, c + (100 - c) * 0.5).when(likeness < 0.5, c * 0.75).otherwise(c)
-    return F.bround(c, 1)
+    if number_agrees is not None:
+        c = F.when(number_agrees, c + (100 - c) * 0.4).otherwise(c)
+    return F.bround(F.least(F.lit(100.0), F.greatest(F.lit(0.0), c)), 1)
+
+
+def proposal(own: dict[str, Column], chosen: dict[str, Column], various_id: str = "", various_name: str = "Various Artists", only_missing: bool = False) -> dict[str, Column]:
+    """The fields to write, from a file's own and its chosen candidate's: genre and composer stay where the candidate has
+    none, an album artist is never empty, compilations by various artists get their name, the year follows the date.
+    only_missing keeps the file's own fields that aren't blank."""
+    from lyrebird.functions.text import year_of
+
+    blank = lambda c: F.coalesce(c.cast("string").isin("", "0", "false"), F.lit(True))
+    first = lambda *cs: F.coalesce(*(F.when(~blank(c), c) for c in cs))
+    out = dict(chosen)
+    for name in ("genre", "composer"):
+        if name in own:
+            out[name] = first(chosen[name], own[name]) if name in chosen else own[name]
+    if "album_artist" in chosen:
+        out["album_artist"] = first(chosen["album_artist"], chosen["artist"], own["album_artist"])
+        if various_id and "album_artist_id" in chosen:
+            out["album_artist"] = F.when(F.coalesce(chosen["compilation"] & (chosen["album_artist_id"] == various_id), F.lit(False)), various_name).otherwise(out["album_artist"])
+    if "date" in chosen and "year" in chosen:
+        out["year"] = F.when(~blank(chosen["year"]), chosen["year"]).otherwise(year_of(chosen["date"]))
+    return {k: first(own[k], v) if only_missing and k in own else v for k, v in out.items()}

@@ -23,6 +23,58 @@ def tracklist(releases: DataFrame, key: str, media: str) -> DataFrame:
     return tracks.select(key, "track.id", "track.title", seconds(F.col("track.length")).alias("length_s"), (F.col("t") + 1).alias("track_no"), "track_total", "disc_no", "disc_total")
 
 
+def position(media: Column, recording: Column) -> Column:
+    """track_no, track_total, disc_no and disc_total of a recording on a release, as a struct; null if it isn't there.
+
+    media: position, track_count, track_offset and tracks of (position, number, recording_id). A medium without tracks, as
+    searches give them, places the recording by its offset. A disc beyond the number of media tells that not all of them
+    are known, so the total isn't either.
+    """
+    number = lambda c: F.nullif(F.regexp_substr(c.cast("string"), F.lit("[0-9]+")), F.lit("")).try_cast("int")
+
+    def of(m: Column) -> Column:
+        hit = F.get(F.filter(m["tracks"], lambda t: recording.isNull() | t["recording_id"].isNull() | (t["recording_id"] == recording)), F.lit(0))
+        disc = F.coalesce(F.nullif(m["position"], F.lit(0)), F.lit(1))
+        bare = F.coalesce(F.size(m["tracks"]), F.lit(0)) <= 0
+        at = F.when(hit.isNotNull(), F.coalesce(number(hit["position"]), number(hit["number"]))).when(bare, m["track_offset"] + 1)
+        total = F.when(disc <= F.size(media), F.size(media))
+        return F.when(hit.isNotNull() | (bare & m["track_offset"].isNotNull()), F.struct(at.cast("int").alias("track_no"), m["track_count"].alias("track_total"), disc.alias("disc_no"), total.alias("disc_total")))
+
+    return F.get(F.filter(F.transform(media, of), lambda p: p.isNotNull()), F.lit(0))
+
+
+def recording_tags(recording: Column, release: Column, various_id: str = "") -> Column:
+    """The tags that a recording (id, title, artists, isrcs) has on a release (id, title, artists, date, group_id,
+    first_date, media): its own artist is the album's where the release names none."""
+    from lyrebird.functions.text import year_of
+
+    artist, artist_id = credit(recording["artists"])
+    album_artist, album_artist_id = credit(release["artists"])
+    date = F.coalesce(F.nullif(release["date"], F.lit("")), F.nullif(release["first_date"], F.lit("")))
+    at = position(release["media"], recording["id"])
+    return F.struct(
+        recording["title"].alias("title"), artist.alias("artist"), artist_id.alias("artist_id"), F.get(recording["isrcs"], F.lit(0)).alias("isrc"), release["title"].alias("album"), F.coalesce(album_artist, artist).alias("album_artist"),
+        F.coalesce(album_artist_id == various_id, F.lit(False)).alias("compilation"), date.alias("date"), year_of(date).alias("year"), *(at[c].alias(c) for c in ("track_no", "track_total", "disc_no", "disc_total")),
+    )
+
+
+def reshaped(recordings: Column) -> Column:
+    """Recordings as a fingerprint service gives them (id, title, duration in seconds, artists), as the catalogue has them."""
+    return F.transform(recordings, lambda r: F.struct(r["id"].alias("id"), r["title"].alias("title"), F.floor(r["duration"] * 1000).cast("long").alias("length"), r["artists"].alias("artists")))
+
+
+def signal_score(signals: Column, name: str) -> Column:
+    """The first signal of a name's score, else 0."""
+    return F.coalesce(F.get(F.filter(signals, lambda s: s["name"] == name), F.lit(0))["score"], F.lit(0.0))
+
+
+def art(rows: DataFrame, releases: DataFrame, groups: DataFrame, release: str, group: str, picture: str) -> DataFrame:
+    """Each row with its release's picture, else with that of the release's group; both tables have one row a key."""
+    own = releases.select(release, F.col(picture).alias("__own"))
+    other = groups.select(group, F.col(picture).alias("__other"))
+    return rows.join(own, release, "left").join(other, group, "left").withColumn(picture, F.coalesce("__own", "__other")).drop("__own", "__other")
+
+
 def seconds(milliseconds: Column) -> Column:
     """0 and null are unknown."""
     return F.nullif(milliseconds, F.lit(0)) / 1000.0
@@ -68,6 +120,8 @@ def edit(rows: DataFrame, at: Column, values: dict[str, Column]) -> DataFrame:
         "field_confidence": F.map_concat(kept, sure), "confidence": F.when(F.col("proposed").isNull(), 100.0).otherwise(F.col("confidence")),
         "method": F.when(F.col("proposed").isNull(), "manual").otherwise(F.col("method")), "proposed": proposed,
     }
+    if "notes" in rows.columns:
+        new["notes"] = F.concat(F.coalesce("notes", F.array().cast("array<string>")), F.array(F.lit("Edited by hand.")))
     return rows.withColumns({c: F.when(at, v).otherwise(F.col(c)) for c, v in new.items()})
 
 

@@ -20,13 +20,14 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str = "") -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
+def query(sql: str = "", *also: str) -> Callable[[Query], Query]:
+    """Register a query under its function's name, and under those that it had before."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        for name in (f.__name__, *also):
+            QUERIES[name] = f
+            if sql:
+                SQL[name] = sql
         return f
 
     return add
@@ -168,11 +169,11 @@ def cutoff_interp(spark, d):
 # Duplicates
 
 
-@query("""WITH e AS (SELECT md5(text) AS id, min(doc_id) AS existing_doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
-SELECT doc_id, existing_doc_id FROM documents JOIN e ON md5(text) = id WHERE doc_id % 2 = 1""")
+@query("""WITH r AS (SELECT md5(text) AS id, doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents)
+SELECT d.doc_id, f.doc_id AS existing_doc_id FROM r AS d JOIN r AS f ON d.id = f.id AND f.r = CASE WHEN d.r = 1 THEN 2 ELSE 1 END""", "dup_exact_id_all")
 def dup_exact_id(spark, d):
     docs = t(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("id"))
-    return duplicates.by_id(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), "id", ["doc_id"], ["doc_id"]).select("doc_id", "existing_doc_id")
+    return duplicates.first_other(docs, "id", "doc_id").select("doc_id", "existing_doc_id")
 
 
 def _parts(spark, d):
@@ -189,33 +190,11 @@ def dup_blocked_fuzzy(spark, d):
     return out.select("p_partkey", "existing_p_partkey", "score")
 
 
-@query("""WITH p AS (SELECT *, lower(p_name) || ' ' || p_size AS block FROM part),
-e AS (SELECT block, min(p_partkey) AS first FROM p WHERE p_partkey % 2 = 0 GROUP BY 1),
-i AS (SELECT block, p_brand, min(p_partkey) AS first FROM p WHERE p_partkey % 2 = 0 GROUP BY 1, 2)
-SELECT p_partkey, 'id' AS kind, i.first AS existing_p_partkey FROM p JOIN i USING (block, p_brand) WHERE p_partkey % 2 = 1
-UNION ALL SELECT p_partkey, 'block', e.first FROM p JOIN e USING (block) WHERE p_partkey % 2 = 1 AND (block, p_brand) NOT IN (SELECT block, p_brand FROM i)""")
-def dup_two_pass(spark, d):
-    p = t(spark, d, "part").select("p_partkey", "p_brand", F.concat_ws(" ", F.lower("p_name"), F.col("p_size").cast("string")).alias("block"))
-    rows, old = p.where("p_partkey % 2 = 1"), p.where("p_partkey % 2 = 0")
-    key = F.struct("block", "p_brand")
-    first = duplicates.by_id(rows.withColumn("id", key), old.withColumn("id", key), "id", ["p_partkey"], ["p_partkey"]).select("p_partkey", F.lit("id").alias("kind"), "existing_p_partkey")
-    rest = rows.join(first.select("p_partkey"), "p_partkey", "left_anti")
-    second = duplicates.by_id(rest, old, "block", ["p_partkey"], ["p_partkey"]).select("p_partkey", F.lit("block").alias("kind"), "existing_p_partkey")
-    return first.unionByName(second)
-
-
-@query("""WITH r AS (SELECT md5(text) AS id, doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents)
-SELECT d.doc_id, f.doc_id AS existing_doc_id FROM r AS d JOIN r AS f ON d.id = f.id AND f.r = CASE WHEN d.r = 1 THEN 2 ELSE 1 END""")
-def dup_exact_id_all(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("id"))
-    return duplicates.first_other(docs, "id", "doc_id").select("doc_id", "existing_doc_id")
-
-
 @query("""WITH p AS (SELECT p_partkey, p_brand, lower(p_name) || ' ' || p_size AS block FROM part),
 i AS (SELECT a.p_partkey, min(b.p_partkey) AS e FROM p AS a JOIN p AS b ON a.block = b.block AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey GROUP BY 1),
 o AS (SELECT a.p_partkey, min(b.p_partkey) AS e FROM p AS a JOIN p AS b ON a.block = b.block AND a.p_partkey <> b.p_partkey GROUP BY 1)
-SELECT p_partkey, 'id' AS kind, e AS existing_p_partkey FROM i UNION ALL SELECT p_partkey, 'block', e FROM o WHERE p_partkey NOT IN (SELECT p_partkey FROM i)""")
-def dup_two_pass_all(spark, d):
+SELECT p_partkey, 'id' AS kind, e AS existing_p_partkey FROM i UNION ALL SELECT p_partkey, 'block', e FROM o WHERE p_partkey NOT IN (SELECT p_partkey FROM i)""", "dup_two_pass_all")
+def dup_two_pass(spark, d):
     p = t(spark, d, "part").select("p_partkey", F.concat_ws(" ", F.lower("p_name"), F.col("p_size").cast("string")).alias("block"), "p_brand")
     out = ["p_partkey", "kind", "existing_p_partkey"]
     first = duplicates.first_other(p.withColumn("id", F.struct("block", "p_brand")), "id", "p_partkey").withColumn("kind", F.lit("id")).select(*out)
@@ -239,7 +218,8 @@ def search_loosen_cascade(spark, d):
         def run(left, right):
             if width:
                 left, right = left.withColumn("w", F.floor(F.col("s_acctbal") / width)), right.withColumn("w", F.floor(F.col("c_acctbal") / width))
-            return left.join(right, ["n", "w"] if width else ["n"]).groupBy("s_suppkey").agg(F.min("c_custkey").alias("c_custkey"))
+            keys = ["n", "w"] if width else ["n"]
+            return left.join(right.groupBy(*keys).agg(F.min("c_custkey").alias("c_custkey")), keys).select("s_suppkey", "c_custkey")
 
         return run
 
@@ -342,9 +322,8 @@ def evidence_ceiling(spark, d):
     return t(spark, d, "orders").select("o_orderkey", most.alias("most"))
 
 
-@query("""SELECT user_id, value_band, count(*) AS n, array_to_string(list_distinct_ordered, '+') AS source, (list_filter(vals, lambda x: x > 50))[1] AS length, bool_and_ AS unverified FROM (
-  SELECT user_id, value_band, list_transform(list_filter(list_zip(types, range(1, len(types) + 1)), lambda x: list_position(types, x[1]) = x[2]), lambda x: x[1]) AS list_distinct_ordered, vals, bool_and_, n FROM (
-   SELECT user_id, floor(value / 50)::BIGINT AS value_band, list(event_type ORDER BY event_id) AS types, list(value ORDER BY event_id) AS vals, bool_and(value < 40) AS bool_and_, count(*) AS n FROM events GROUP BY 1, 2)) JOIN (SELECT user_id, floor(value / 50)::BIGINT AS value_band FROM events) USING (user_id, value_band) GROUP BY ALL""")
+@query("""SELECT user_id, value_band, n, list_reduce(types, lambda a, b: CASE WHEN a = b THEN a ELSE a || '+' || b END) AS source, (list_filter(vals, lambda x: x > 50))[1] AS length, unverified FROM (
+   SELECT user_id, floor(value / 50)::BIGINT AS value_band, count(*) AS n, list(event_type ORDER BY event_id) AS types, list(value ORDER BY event_id) AS vals, bool_and(value < 40) AS unverified FROM events GROUP BY 1, 2)""")
 def candidate_dedupe_merge(spark, d):
     e = t(spark, d, "events").select("user_id", F.floor(F.col("value") / 50).alias("value_band"), "event_id", "event_type", F.when(F.col("value") > 50, F.col("value")).alias("length"), (F.col("value") < 40).alias("unverified"), F.col("event_type").alias("sig"))
     return resolve.merged(e, ["user_id", "value_band"], "event_id", "event_type", "length", "unverified", "sig").select("user_id", "value_band", "n", F.col("event_type").alias("source"), "length", "unverified")
@@ -393,9 +372,9 @@ def text_normalize_ascii(spark, d):
     return t(spark, d, "part").select("p_partkey", text.normalise(F.concat("p_name", F.lit(" & Co. (Remastered 2014)"))).alias("name"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(strip_accents(lower(substr(text, 1, 200))), '&', ' and '), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS head FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(strip_accents(lower(text)), '&', ' and '), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS head FROM documents""")
 def text_normalize_unicode(spark, d):
-    return t(spark, d, "documents").select("doc_id", text.normalise_unicode(F.substring("text", 1, 200)).alias("head"))
+    return t(spark, d, "documents").select("doc_id", text.normalise_unicode(F.col("text")).alias("head"))
 
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(strip_accents(lower(text)), '&', ' and '), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents""")
@@ -429,7 +408,7 @@ def render_template(spark, d):
     return t(spark, d, "part").select("p_partkey", ledger.rendered("{disc_prefix}{track:02d} - {title}", values).alias("file"))
 
 
-@query("""SELECT p_partkey, p_name || CASE WHEN r > 1 AND r < 100 THEN ' (' || r || ')' WHEN r >= 100 THEN ' (99)' ELSE '' END || '.mp3' AS dest FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) AS r FROM part)""")
+@query("""SELECT p_partkey, p_name || CASE WHEN r > 1 THEN ' (' || r || ')' ELSE '' END || '.mp3' AS dest FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) AS r FROM part)""")
 def plan_collisions(spark, d):
     rows = t(spark, d, "part").select("p_partkey", "p_brand", "p_name", F.lit(".mp3").alias("suffix"))
     return ledger.destinations(rows, "p_brand", "p_name", "suffix", "p_partkey").select("p_partkey", "dest")
@@ -453,7 +432,7 @@ _X = "SELECT vec_id, unnest(range(64)) AS idx, unnest(embedding)::DOUBLE AS x FR
 
 
 def _samples(spark, d):
-    return signal.exploded(t(spark, d, "embeddings").select("vec_id", signal.doubles(F.col("embedding")).alias("s")), "vec_id", "s")
+    return t(spark, d, "embeddings").select("vec_id", signal.doubles(F.col("embedding")).alias("s"))
 
 
 @query(f"""SELECT vec_id, round(peak, 6) AS peak, round(rms, 6) AS rms, round(dc, 6) AS dc, round(20 * log10(greatest(peak, 1e-10)) - 20 * log10(greatest(rms, 1e-10)), 4) AS crest_db,
@@ -469,8 +448,9 @@ _RUN = f"""SELECT vec_id, count(*) AS length FROM (SELECT vec_id, idx, idx - row
 
 @query(f"SELECT vec_id, sum(length)::BIGINT AS marked, count(*) FILTER (length >= 4) AS long_runs, max(length) AS longest FROM ({_RUN}) GROUP BY 1")
 def pcm_clip_runs(spark, d):
-    r = signal.runs(_samples(spark, d), "vec_id", F.abs("x") >= 0.1)
-    return r.groupBy("vec_id").agg(F.sum("length").alias("marked"), F.count_if(F.col("length") >= signal.CLIP_RUN).alias("long_runs"), F.max("length").alias("longest"))
+    r = _samples(spark, d).select("vec_id", signal.run_lengths(F.transform("s", lambda x: F.abs(x) >= 0.1)).alias("r")).where(F.size("r") > 0)
+    long_ = F.size(F.filter("r", lambda x: x >= signal.CLIP_RUN))
+    return r.select("vec_id", F.aggregate("r", F.lit(0), lambda a, x: a + x).cast("long").alias("marked"), long_.cast("long").alias("long_runs"), F.array_max("r").cast("long").alias("longest"))
 
 
 _FR = f"SELECT vec_id, idx // 4 AS frame, 20 * log10(greatest(sqrt(avg(x * x)), 1e-10)) AS db FROM ({_X}) GROUP BY 1, 2 HAVING count(*) = 4"
@@ -480,14 +460,15 @@ _FR = f"SELECT vec_id, idx // 4 AS frame, 20 * log10(greatest(sqrt(avg(x * x)),
 g AS (SELECT vec_id, min(frame) AS s, max(frame) AS e, count(*) AS k FROM (SELECT *, frame - row_number() OVER (PARTITION BY vec_id ORDER BY frame) AS i FROM f WHERE db <= -20) GROUP BY vec_id, i)
 SELECT n.vec_id, coalesce(a, n)::BIGINT AS lead, coalesce(n - 1 - b, 0)::BIGINT AS trail, coalesce(max(k) FILTER (s > a AND e < b), 0)::BIGINT AS longest FROM n LEFT JOIN g USING (vec_id) GROUP BY n.vec_id, a, b, n""")
 def pcm_frames_silence(spark, d):
-    return signal.silence(signal.frames(_samples(spark, d), "vec_id", 4), "vec_id", -20.0)
+    return _samples(spark, d).select("vec_id", signal.silence(signal.frames(F.col("s"), 4), -20.0).alias("x")).select("vec_id", "x.*")
 
 
 @query(f"""WITH a AS (SELECT vec_id, idx, lead(x) OVER w - x AS d FROM ({_X}) WINDOW w AS (PARTITION BY vec_id ORDER BY idx)), b AS (SELECT *, lead(d) OVER (PARTITION BY vec_id ORDER BY idx) AS e FROM a WHERE d IS NOT NULL),
 s AS (SELECT *, coalesce(idx - lag(idx) OVER (PARTITION BY vec_id ORDER BY idx) > 3, true) AS new FROM b WHERE e IS NOT NULL AND abs(d) > 0.15 AND sign(d) <> sign(e) AND abs(e) > 0.075)
 SELECT vec_id, count(*) AS spikes, count(*) FILTER (new) AS events FROM s GROUP BY 1""")
 def pcm_clicks(spark, d):
-    return signal.clicks(_samples(spark, d), "vec_id", F.lit(0.15), 3)
+    p = _samples(spark, d).select("vec_id", signal.spikes(F.col("s"), 0.15).alias("p")).where(F.size("p") > 0)
+    return p.select("vec_id", F.size("p").cast("long").alias("spikes"), F.size(signal.events(F.col("p"), 3)).cast("long").alias("events"))
 
 
 @query("""WITH b AS (SELECT event_type, date_trunc('day', ts)::DATE AS block, value FROM events), m AS (SELECT event_type, block, median(value) AS median FROM b GROUP BY 1, 2)
@@ -499,7 +480,7 @@ def block_mad(spark, d):
 
 @query(f"SELECT vec_id, idx::INTEGER AS idx, round(sum(x) OVER (PARTITION BY vec_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smooth FROM ({_X})")
 def moving_average_zero_pad(spark, d):
-    return signal.moving_average(_samples(spark, d), "vec_id", "x", 5).select("vec_id", "idx", F.round("smooth", 6).alias("smooth"))
+    return _samples(spark, d).select("vec_id", F.posexplode(signal.moving_average(F.col("s"), 5)).alias("idx", "x")).select("vec_id", "idx", F.round("x", 6).alias("smooth"))
 
 
 @query()
@@ -528,14 +509,8 @@ def ledger_prune(spark, d):
     return ledger.pruned(e.groupBy("user_id").agg(F.min("ts").alias("started")), e, "user_id", "started", 20).select("event_id", "user_id")
 
 
-@query("""SELECT event_id, (j->>'k')::INTEGER AS k FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE props::JSON END AS j FROM events) WHERE j IS NOT NULL""")
+@query("""SELECT event_id, (props::JSON->>'k')::INTEGER AS k FROM events WHERE props IS NOT NULL""", "json_props_all")
 def json_props(spark, d):
-    e = t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 10 != 0, F.col("props")).alias("p"))
-    return files.parsed(e, "p", "k int").select("event_id", "k")
-
-
-@query("""SELECT event_id, (props::JSON->>'k')::INTEGER AS k FROM events WHERE props IS NOT NULL""")
-def json_props_all(spark, d):
     return files.parsed(t(spark, d, "events").select("event_id", "props"), "props", "k int").select("event_id", "k")
 
 

@@ -1,7 +1,7 @@
 import pytest
 from against import same
 
-from lyrebird.plans import catalogue
+from lyrebird.plans import catalogue, findings, resolution  # noqa: F401  they register their queries
 
 SF = "/root/testdata/sf0.001"
 
