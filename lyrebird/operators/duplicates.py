@@ -32,3 +32,27 @@ def fuzzy(rows: DataFrame, existing: DataFrame, row_id: str, block: str, artist:
     score = F.bround(F.lit(TITLE) + ARTIST * F.coalesce(artist, F.lit(0.0)) + ALBUM * F.coalesce(album, F.lit(0.0)), 6)
     pairs = rows.join(existing, block).where(~F.coalesce(ids_differ, F.lit(False))).withColumn("score", score).where(F.col("score") >= LEAST)
     return pairs.withColumn("__r", F.row_number().over(Window.partitionBy(row_id).orderBy(F.desc("score"), *order))).where("__r = 1").drop("__r")
+
+
+def fuzzy_within(rows: DataFrame, row_id: str, block: str, artist: str, album: str, like) -> DataFrame:
+    """row_id, existing_ row_id and score: the best other row of each row's block, ties to the smaller id, at least LEAST.
+
+    like(a, b) is the likeness of two columns. Only distinct pairs of artist and album of a block are compared, each with
+    the two smallest ids that have it, so rows that say the same are never paired with each other one by one.
+    """
+    key = [block, artist, album]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(row_id))
+    two = rows.select(row_id, *key).withColumn("__r", place).where("__r <= 2").groupBy(*key)
+    two = two.agg(F.min(row_id).alias("first"), F.max(F.when(F.col("__r") == 2, F.col(row_id))).alias("second"))
+    other = two.select(block, F.col(artist).alias("__artist"), F.col(album).alias("__album"), F.col("first").alias("__first"))
+    same = F.col(artist).eqNullSafe(F.col("__artist")) & F.col(album).eqNullSafe(F.col("__album"))
+    score = F.bround(TITLE + ARTIST * like(artist, "__artist") + ALBUM * like(album, "__album"), 6)
+    pairs = two.join(other, block).withColumn("own", same).where("NOT own OR second IS NOT NULL").withColumn("score", score).where(F.col("score") >= LEAST)
+    best = F.max(F.when(~F.col("own"), F.struct("score", (-F.col("__first")).alias("less"))))
+    found = pairs.groupBy(*key, "first", "second").agg(best.alias("best"), F.max(F.when(F.col("own"), F.col("score"))).alias("mine"))
+    renamed = found.select(F.col(block).alias("__b"), F.col(artist).alias("__a"), F.col(album).alias("__l"), "first", "second", "best", "mine")
+    fits = (F.col(block) == F.col("__b")) & F.col(artist).eqNullSafe(F.col("__a")) & F.col(album).eqNullSafe(F.col("__l"))
+    twin = F.when(F.col(row_id) == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    choice = F.greatest(F.col("best"), F.when(F.col("mine").isNotNull(), F.struct(F.col("mine").alias("score"), (-twin).alias("less"))))
+    out = rows.select(row_id, *key).join(renamed, fits).withColumn("__c", choice)
+    return out.select(row_id, (-F.col("__c.less")).alias(f"existing_{row_id}"), F.col("__c.score").alias("score"))

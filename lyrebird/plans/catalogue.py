@@ -183,11 +183,7 @@ def _parts(spark, d):
 
 @query()
 def dup_blocked_fuzzy(spark, d):
-    p = _parts(spark, d)
-    other = p.select("block", *(F.col(c).alias(f"existing_{c}") for c in ("p_partkey", "p_brand", "p_type")))
-    itself = F.col("p_partkey") == F.col("existing_p_partkey")
-    out = duplicates.fuzzy(p, other, "p_partkey", "block", text.similarity("p_brand", "existing_p_brand"), text.similarity("p_type", "existing_p_type"), itself, ["existing_p_partkey"])
-    return out.select("p_partkey", "existing_p_partkey", "score")
+    return duplicates.fuzzy_within(_parts(spark, d), "p_partkey", "block", "p_brand", "p_type", text.similarity)
 
 
 @query("""WITH p AS (SELECT p_partkey, p_brand, lower(p_name) || ' ' || p_size AS block FROM part),
@@ -485,8 +481,10 @@ def moving_average_zero_pad(spark, d):
 
 @query()
 def fft_cutoff(spark, d):
-    s = signal.doubles(F.col("embedding"))
-    return t(spark, d, "embeddings").select("vec_id", signal.cutoff(s, 44100.0, n_fft=32, least_db=6.0).alias("cutoff_hz"))
+    """Sixteen vectors in a row are a signal, long enough for a few frames."""
+    e = t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("clip"), "vec_id", signal.doubles(F.col("embedding")).alias("s"))
+    joined = e.groupBy("clip").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "s"))), lambda x: x["s"])).alias("s"))
+    return joined.select("clip", signal.cutoff(F.col("s"), 8000.0, n_fft=64, least_db=3.0).alias("cutoff_hz"))
 
 
 # Ledger

@@ -1,6 +1,10 @@
+import numpy as np
 import pytest
 from against import same
+from pyspark.sql import functions as F
 
+from lyrebird.functions import text
+from lyrebird.operators import signal
 from lyrebird.plans import catalogue, findings, resolution  # noqa: F401  they register their queries
 
 SF = "/root/testdata/sf0.001"
@@ -11,9 +15,92 @@ def test_equals_its_sql(spark, name):
     same(spark, catalogue.QUERIES[name], catalogue.SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
-def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() >= 0
+def rows_of(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet").collect()
+
+
+def test_queries_without_sql_are_all_held_against_brute_force():
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"dup_blocked_fuzzy", "seat_greedy", "similarity_pairs", "fft_cutoff", "quality_report", "identify_parts"}
+
+
+def test_dup_blocked_fuzzy(spark):
+    parts = [(r["p_partkey"], text.fold(f"{r['p_name']} {r['p_size']}"), r["p_brand"], r["p_type"]) for r in rows_of(spark, "part")]
+    want = {}
+    for k, b, brand, kind in parts:
+        pairs = [(-round(0.5 + 0.4 * text.likeness(brand, x) + 0.1 * text.likeness(kind, y), 6), j) for j, c, x, y in parts if c == b and j != k]
+        if pairs and -min(pairs)[0] >= 0.82:
+            want[k] = (min(pairs)[1], -min(pairs)[0])
+    assert want and {r["p_partkey"]: (r["existing_p_partkey"], round(r["score"], 6)) for r in catalogue.QUERIES["dup_blocked_fuzzy"](spark, SF).collect()} == want
+
+
+def test_seat_greedy(spark):
+    sizes = {}
+    for r in rows_of(spark, "conversations"):
+        if r["role"] in ("user", "assistant"):
+            at = sizes.setdefault(r["conv_id"], {}).setdefault(r["role"], {})
+            at[r["turn"]] = max(at.get(r["turn"], 0), len(r["text"]))
+    want = set()
+    for conv, of in sizes.items():
+        pairs = [(-round(min(m, n) / max(m, n, 1), 6), a, b) for a, m in of.get("user", {}).items() for b, n in of.get("assistant", {}).items()]
+        used = set()
+        for s, a, b in sorted(p for p in pairs if -p[0] >= 0.3):
+            if not {("u", a), ("a", b)} & used:
+                used |= {("u", a), ("a", b)}
+                want.add((conv, a, b, -s))
+    assert want and {tuple(r) for r in catalogue.QUERIES["seat_greedy"](spark, SF).select("conv_id", "user", "assistant", "score").collect()} == want
+
+
+def test_similarity_pairs(spark):
+    names = sorted({r["p_name"] for r in rows_of(spark, "part")})
+    want = {(a, b): round(text.likeness(a, b), 6) for a in names for b in names if a < b and set(a.split(" ")) & set(b.split(" "))}
+    assert want and {(r["p_name"], r["other"]): r["likeness"] for r in catalogue.QUERIES["similarity_pairs"](spark, SF).collect()} == want
+
+
+def test_fft_cutoff(spark):
+    clips = {}
+    for r in sorted(rows_of(spark, "embeddings"), key=lambda r: r["vec_id"]):
+        clips.setdefault(r["vec_id"] // 16, []).extend(map(float, r["embedding"]))
+    got = {r["clip"]: r["cutoff_hz"] for r in catalogue.QUERIES["fft_cutoff"](spark, SF).collect()}
+    assert got.keys() == clips.keys()
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(33), np.arange(64)) / 64)
+    for clip, x in clips.items():
+        frames = [np.array(x[k : k + 64]) for k in range(0, len(x) - 63, 64)]
+        if len(frames) < 4:
+            assert got[clip] is None
+            continue
+        most = max((f @ f) ** 0.5 for f in frames)
+        loud = [f for f in frames if (f @ f) ** 0.5 > 0.15 * most]
+        power = sum(abs(wave @ (f * np.hanning(64))) ** 2 for f in loud) / len(loud)
+        db = np.convolve(10 * np.log10(power + 1e-20), np.ones(3) / 3, "same")
+        # 125 Hz a bin: from 1,600 Hz on, one bin left out and eleven taken on either side.
+        best = (0.0, None)
+        for i in range(12, 33 - 1 - 2):
+            below, above = sorted(db[max(0, i - 12) : i - 1]), sorted(db[i + 1 : i + 12])
+            if len(below) >= 5 and len(above) >= 5:
+                best = max(best, (np.median(below) - np.median(above), i), key=lambda p: p[0])
+        assert got[clip] == (125.0 * best[1] if best[0] >= 3 else 4000.0)
+    assert len(set(got.values())) > 2
+
+
+def test_quality_report_and_identification_cover_all_rows(spark):
+    q = catalogue.QUERIES["quality_report"](spark, SF).collect()
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in rows_of(spark, "embeddings")}
+    assert {r["vec_id"] for r in q} == set(vectors)
+    for r in q:
+        codes = set(filter(None, r["codes"].split(",")))
+        if r["vec_id"] % 11 == 0:
+            assert (r["score"], r["error"], codes) == (0, "damaged", {"undecodable"})
+            continue
+        v = vectors[r["vec_id"]]
+        same = r["vec_id"] % 3 == 0 or abs(v - v[::-1]).max() < 1e-6
+        assert ("fake_stereo" in codes) == same and {"truncated", "low_bitrate", "low_sample_rate", "very_short"} <= codes
+        assert ("dc_offset" in codes) == (abs(v.mean()) > 0.01)
+    parts = rows_of(spark, "part")
+    got = catalogue.QUERIES["identify_parts"](spark, SF).collect()
+    assert len(got) == len(parts)
+    by_key = {r["path"].rsplit("_", 1)[1].removesuffix(".mp3"): r for r in got}
+    known = [by_key[str(r["p_partkey"])] for r in parts if r["p_partkey"] % 7 == 0]
+    assert known and all(0 <= r["confidence"] <= 100 for r in got) and sum(r["chosen"] == r["path"].rsplit("_", 1)[1].removesuffix(".mp3") for r in known) > 0.9 * len(known)
 
 
 def test_entry(spark):
