@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -210,3 +210,10 @@ def path_guess(path: Column, root: str | None = None) -> Column:
         bare(found("artist", none)).alias("artist"), F.when(stem.rlike("|".join(s for s, _ in shapes)), bare(found("title", none))).otherwise(stem).alias("title"),
         F.when(below >= 1, album).alias("album"), artist.alias("album_artist"), F.when(below >= 1, year).try_cast("int").alias("year"),
     )
+
+
+def register(spark: SparkSession) -> None:
+    """Make the functions that have no Spark expression usable in SQL: fold_text, similarity and song_similarity."""
+    spark.udf.register("fold_text", normalise_unicode)
+    spark.udf.register("similarity", similarity)
+    spark.udf.register("song_similarity", song_similarity)

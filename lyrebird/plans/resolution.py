@@ -9,6 +9,7 @@ from lyrebird.operators import catalog, ledger, resolve, tracks
 from lyrebird.plans import identify as ends
 from lyrebird.plans.catalogue import query, t
 from lyrebird.sources import files
+from lyrebird.sources import tags as containers
 
 # Candidates
 
@@ -283,3 +284,48 @@ def companion_decision(spark, d):
     moves = e.where("event_type <> 'view'").select("user_id", "event_id", F.col("event_type").alias("destination"))
     rest = e.where("event_type = 'view'").select("user_id", "event_id", (F.col("user_id") % 2 == 0).alias("left_behind"))
     return tracks.companions(rest, moves, "user_id", "destination", "event_id", "left_behind").select("user_id", "event_id", "destination", "action")
+
+
+# Containers
+
+
+@query("""SELECT p_partkey, kind, CASE WHEN kind IN ('id3', 'vorbis', 'mp4') THEN p_name END AS title, CASE WHEN kind = 'vorbis' THEN p_brand END AS album_artist, CASE WHEN kind IN ('id3', 'vorbis') OR (kind = 'mp4' AND p_size % 4 > 0) THEN p_size % 4 END::INTEGER AS track_no,
+  CASE WHEN kind IN ('id3', 'vorbis') OR (kind = 'mp4' AND p_size % 3 > 0) THEN p_size % 3 END::INTEGER AS track_total, CASE kind WHEN 'id3' THEN 1990 WHEN 'asf' THEN 2001 END::INTEGER AS year, coalesce(kind = 'vorbis', false) AS compilation, coalesce(kind = 'id3', false) AS has_art
+  FROM (SELECT *, ['id3', 'vorbis', 'mp4', 'asf', NULL][(p_partkey % 5 + 1)::INTEGER] AS kind FROM part)""")
+def tag_readers(spark, d):
+    pick = lambda *names: F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    pair = F.concat((F.col("p_size") % 4).cast("string"), F.lit("/"), (F.col("p_size") % 3).cast("string"))
+    values = {"TIT2": "p_name", "title": "p_name", "©nam": "p_name", "ENSEMBLE": "p_brand"}
+    raw = F.create_map(
+        *(x for k, c in values.items() for x in (F.lit(k), F.array(F.col(c)))), F.lit("ALBUMARTIST"), F.array(F.lit("  ")), *(x for k in ("TRCK", "TRACKNUMBER", "trkn") for x in (F.lit(k), F.array(pair))),
+        F.lit("TYER"), F.array(F.lit("12/1990")), F.lit("WM/Year"), F.array(F.lit("2001")), F.lit("compilation"), F.array(F.lit("1")), F.lit("TCMP"), F.array(F.lit("0")), F.lit("APIC:front"), F.array(F.lit("x")),
+    )
+    kind = containers.kind_of(pick("/a/b.MP3", "/a/b.oga", "/a/b.m4b", "/a/b.wma", "/a/b.txt"))
+    rows = t(spark, d, "part").select("p_partkey", kind.alias("kind"), raw.alias("raw")).withColumn("t", containers.tags(F.col("kind"), F.col("raw")))
+    return rows.select("p_partkey", "kind", *(f"t.{c}" for c in ("title", "album_artist", "track_no", "track_total", "year", "compilation", "has_art")))
+
+
+@query("""SELECT p_partkey, 'flac' AS codec, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size * 1000 END::BIGINT AS sample_rate, 2::BIGINT AS channels, 0::BIGINT AS stream_bitrate, CASE WHEN p_size % 4 = 0 THEN 1.5 ELSE p_size + 0.25 END::DOUBLE AS duration_s, '' AS format_name FROM part WHERE p_size % 7 > 0""")
+def container_probe(spark, d):
+    n = F.col("p_size").cast("string")
+    rate = F.when(F.col("p_size") % 3 == 0, F.lit("N/A")).otherwise(F.concat(n, F.lit("000.7")))
+    whole = F.when(F.col("p_size") % 4 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"duration": "'), n, F.lit('.25"}')))
+    value = F.concat(F.lit('{"streams": [{"codec_name": "flac", "channels": 2, "duration": "1.5", "sample_rate": "'), rate, F.lit('"}, {"codec_name": "png"}], "format": '), whole, F.lit("}"))
+    value = F.when(F.col("p_size") % 7 == 0, F.lit("no json")).otherwise(value)
+    rows = t(spark, d, "part").select("p_partkey", containers.probe(value).alias("f")).where("f IS NOT NULL")
+    return rows.select("p_partkey", *(f"f.{c}" for c in ("codec", "sample_rate", "channels", "stream_bitrate", "duration_s", "format_name")))
+
+
+@query("SELECT p_partkey, lower(p_name) AS name, 1.0::DOUBLE AS likeness FROM part")
+def sql_functions(spark, d):
+    """The registered functions, called from SQL."""
+    text.register(spark)
+    t(spark, d, "part").createOrReplaceTempView("lyrebird_parts")
+    return spark.sql("SELECT p_partkey, fold_text(p_name) AS name, similarity(p_name, upper(p_name)) AS likeness FROM lyrebird_parts")
+
+
+@query("""SELECT p_partkey, '{"name":"' || p_name || '","has_print":' || (p_size % 2 = 0) || '}' AS row FROM part""")
+def json_projection(spark, d):
+    """A row as JSON, with whether it has a fingerprint rather than the fingerprint."""
+    row = F.to_json(F.struct(F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).isNotNull().alias("has_print")))
+    return t(spark, d, "part").select("p_partkey", row.alias("row"))
