@@ -95,6 +95,34 @@ def test_packing(spark):
     assert pack_documents(documents(spark).limit(0), WORD).count() == 0
 
 
+def test_packing_is_near_the_least_number_of_sequences(spark):
+    from lyrebird.llm.packing import pack_documents
+
+    packed = pack_documents(spark.read.parquet(f"{SF}/documents.parquet"), WORD, max_len=2048).groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.count("*"), F.sum("n")).first()
+    assert packed[0] <= 1.01 * math.ceil(packed[1] / 2048) + 1
+
+
+def test_token_files_have_indexes_and_are_pruned(spark, tmp_path):
+    from lyrebird.llm.token_store import read_token_ids, write_token_ids
+
+    path = (tmp_path / "ids").as_uri()
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    write_token_ids(docs, path, BYTE)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    for f in spark.read.orc(path).inputFiles():
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000 and reader.getCompressionKind().toString() == "ZSTD"
+        for stripe in reader.getStripes():
+            footer = reader.rows().readStripeFooter(stripe)
+            kinds = Counter((s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList())
+            assert kinds[(1, "BLOOM_FILTER_UTF8")] == 1 and kinds[(1, "ROW_INDEX")] == 1 and footer.getColumns(1).getKind().toString() == "DIRECT_V2"
+            n += stripe.getNumberOfRows()
+    assert n == 4000
+    one = read_token_ids(spark, path).where("doc_id = 1234")
+    assert [r["doc_id"] for r in rows(one)] == [1234] and "EqualTo(doc_id,1234)" in one._jdf.queryExecution().toString()
+
+
 def test_token_store(spark, tmp_path):
     from lyrebird.llm.token_store import digest, read_token_ids, write_token_ids
 
@@ -146,6 +174,36 @@ def test_permutations_are_one_to_one(spark):
     assert sorted(r["x"] for r in c.collect()) == [f"{i:03d}" for i in range(1000)]
 
 
+def test_pseudonyms_against_plain_python(spark):
+    import brute
+    from lyrebird.llm.pii import pseudonyms
+
+    r = np.random.default_rng(7)
+    number = lambda n: "".join(map(str, r.integers(0, 10, n)))
+    cards = [c + str(-brute._luhn(c + "0") % 10) for c in ("4" + number(14) for _ in range(6))]
+    values = [f"Mail.{number(3)}@Host-{number(1)}.example.ORG", f"+49 {number(3)}-{number(3)}-{number(4)}", f"({number(3)}) {number(3)}.{number(4)}", f"{number(3)}-{number(2)}-{number(4)}", "665-01-0001", "899-99-9999", "10.0.0.255", "256.1.1.1"]
+    values += [*cards, cards[0][:-1] + str((int(cards[0][-1]) + 1) % 10), f"{cards[1][:4]} {cards[1][4:8]} {cards[1][8:12]} {cards[1][12:]}"]
+    values += ["2024-02-29", "1799-12-31", "2199-12-31", "31/12/1999", "12/31/1999", "01/02/2003", "02/13/2000", "13/13/2000", "29.02.1900", "28.02.1900", "01/13/1800", "12/31/2199"]
+    texts = [f"see {v}, then {v}; " + "and so on " * int(r.integers(0, 4)) for v in values] + [" | ".join(values), "x" * 200_000 + " 10.0.0.1 " + "y " * 100_000, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = {x["doc_id"]: x["text"] for x in rows(pseudonyms(docs, "a key"))}
+    assert [got[i] for i in range(len(texts))] == [brute.pseudonyms(t, "a key") for t in texts]
+    again = docs.unionByName(docs)
+    assert Counter(map(str, rows(pseudonyms(again, "a key")))) == Counter({k: 2 * n for k, n in Counter(map(str, rows(pseudonyms(docs, "a key")))).items()})
+    assert pseudonyms(docs.limit(0), "a key").count() == 0
+    plan = pseudonyms(docs, "a secret key")._jdf.queryExecution().toString()
+    assert "a secret key" not in plan
+
+
+def test_slash_dates_keep_their_reading(spark):
+    from lyrebird.llm.pii import _date
+
+    day = spark.range(0, 146_097, 3).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    texts = day.select(F.date_format("d", "dd/MM/yyyy").alias("x")).union(day.where("day(d) > 12").select(F.date_format("d", "MM/dd/yyyy")))
+    got = texts.select(_date(F.col("x"), "k").alias("y"))
+    assert got.distinct().count() == texts.count() and got.where("y IS NULL").isEmpty()
+
+
 # Language model
 
 
@@ -251,9 +309,10 @@ def test_slots_are_a_distribution(spark):
 # Near-duplicates
 
 
-def brute_classes(texts):
+def brute_roots(texts):
+    """A number for each text; those that links of 0.75 or more join have the same."""
     sets = []
-    for _, t in texts:
+    for t in texts:
         w = words(t)
         sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else []))
     root = list(range(len(texts)))
@@ -266,11 +325,16 @@ def brute_classes(texts):
     for a, b in itertools.combinations(range(len(texts)), 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
             root[find(b)] = find(a)
-    ids = {}
+    return [find(k) for k in range(len(texts))]
+
+
+def brute_classes(texts):
+    roots, ids = brute_roots([t for _, t in texts]), {}
+    sizes = [max(0, len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if (w := words(t)) else 0) for _, t in texts]
     for k, (i, _) in enumerate(texts):
         if i is not None:
-            ids[find(k)] = min(i, ids.get(find(k), i))
-    return Counter((i, len(s), ids.get(find(k))) for k, ((i, _), s) in enumerate(zip(texts, sets)))
+            ids[roots[k]] = min(i, ids.get(roots[k], i))
+    return Counter((i, n, ids.get(roots[k])) for k, ((i, _), n) in enumerate(zip(texts, sizes)))
 
 
 def edited(r, base, n):
@@ -345,6 +409,22 @@ def test_max_score(spark):
     assert max_score_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_max_score_merges_shards(spark, monkeypatch):
+    from lyrebird.llm import maxscore
+
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 40)
+    monkeypatch.setattr(maxscore, "QUERY_ROWS", 3)
+    r = np.random.default_rng(5)
+    vectors = [(i, (r.integers(-3, 4, 5) / 256).tolist()) for i in range(700)]  # many ties
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in rows(maxscore.max_score_top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0))}
+    whole = np.array([[math.floor(256 * x) for x in v] for _, v in vectors])
+    want = {}
+    for q in range(0, 700, 50):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:5]
+        want |= {(q, k): (i, -s) for k, (s, i) in enumerate(best, 1)}
+    assert got == want
+
+
 @pytest.mark.parametrize("size", [3, 300, 10**7, 10**9])
 def test_top_k_of_a_shard(size):
     from lyrebird.llm.maxscore import top_k
@@ -474,6 +554,7 @@ def test_quality_rules(spark):
         want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r["text"] or ""), len(lines) - len(set(lines)), len(covered))
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
         assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
+    assert quality_rules(docs.limit(0)).count() == keep_good(docs.limit(0)).count() == 0
     kept = {r["doc_id"] for r in got if r["kept"]}
     assert {0, 8, 9, None} <= kept and not kept & {1, 2, 3, 4, 20, 21, 22}
     assert sorted(str(r["doc_id"]) for r in rows(keep_good(docs))) == sorted(str(r["doc_id"]) for r in got if r["kept"])

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import pytest
 from against import same
 
@@ -62,3 +65,87 @@ def test_url_templates_reject_what_no_rule_names(spark, tmp_path):
     assert len(got) == len(pages) and all(r["rule"] is None for r in got.values())
     assert {i for i, r in got.items() if r["verdict"] == "block"} == {i for i, u, _ in pages if "bets" in u}
     assert all(got[i]["n_labelled"] == 0 for i in range(100, 110))
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every piece that the whole pipeline packs, from the documents on."""
+    import brute
+    import corpus_pipeline as p
+    import public_tokenizers
+    from test_operators import crc, encoded
+
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if brute.kept(r["text"])]
+    from test_operators import brute_roots
+
+    roots = brute_roots([r["text"] for r in docs])
+    least = {}
+    for k, r in enumerate(docs):
+        if roots[k] not in least or r["doc_id"] < docs[least[roots[k]]]["doc_id"]:
+            least[roots[k]] = k
+    docs = [docs[k] for k in sorted(least.values())]
+    texts = [brute.pseudonyms(r["text"], p.KEY) for r in docs]
+    n = brute.copies([(r["doc_id"], r["source"]) for r in docs])
+    want = Counter()
+    for r, ids, k in zip(docs, encoded(public_tokenizers.path("word_bpe_49k.json"), texts), n):
+        for at in range(0, len(ids), 2048):
+            part = ids[at : at + 2048]
+            want[(r["doc_id"], at // 2048, at, len(part), crc(part))] += k
+    got = p.run(spark, SF).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == +want
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 2048
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_with_odd_documents(spark, k):
+    """Nulls in all columns, empty and very long texts, repeats, extra columns, and no rows at all."""
+    import corpus_pipeline as p
+    from cases import documents
+
+    name, stage = p.STAGES[k]
+    odd = documents(spark)
+    odd = odd.unionByName(odd.where("doc_id = 0").selectExpr(*("CAST(NULL AS %s) AS %s" % (f.dataType.simpleString(), f.name) for f in odd.schema))).repartition(3)
+    got = stage(spark, odd, SF)
+    rows = got.collect()
+    if k < 4:
+        assert got.columns == list(p.DOCUMENTS)
+    whole = {(r["doc_id"], r["text"]) for r in odd.collect()}
+    if k == 0:
+        assert {r["doc_id"] for r in rows} >= {0, 8, 9, None}
+    elif k == 1:
+        assert {(r["doc_id"], r["text"]) for r in rows} <= whole and {1, 2, 3} <= {r["doc_id"] for r in rows} and len([r for r in rows if r["doc_id"] in (0, 8, 9)]) == 1
+    elif k == 2:
+        assert {(r["doc_id"], r["text"]) for r in rows} == whole and len(rows) == odd.count()
+    elif k == 3:
+        assert {(r["doc_id"], r["text"]) for r in rows} <= whole
+    else:
+        assert sum(r["piece"] == 0 for r in rows) == odd.count()
+    assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_url_templates_against_plain_python(spark):
+    """Every page's template, labels, rate and verdict, and that some pages without a rule are blocked."""
+    import brute
+    from pyspark.sql import functions as F
+
+    from lyrebird.llm import urls
+
+    got = queries.op9_url_templates(spark, SF).collect()
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", urls.junk_text(F.col("html")).alias("junk")).collect()
+    assert len(got) == len(pages)
+    parts = {}
+    for r in pages:
+        m = re.search(r"://([^/?#]*)([^?#]*)", r["url"] or "")
+        host, path = ("".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
+        fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule = max(fits)[1:] if fits else (None, None)
+        parts[r["page_id"]] = host, path, rule, int(rule[1] == "block") if rule[1] else r["junk"]
+    want = dict(zip(parts, brute.templates([(h, p, bad) for h, p, _, bad in parts.values()])))
+    for r in got:
+        host, path, (rule, verdict), _ = parts[r["page_id"]]
+        template, n, rate = want[r["page_id"]]
+        assert (r["host"], r["path"], r["rule"], r["template"], r["n_labelled"]) == (host, path, rule, template, n)
+        assert r["block_rate"] == pytest.approx(rate) and r["verdict"] == (verdict or ("block" if rate >= urls.REJECT else "allow"))
