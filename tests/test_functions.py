@@ -173,3 +173,22 @@ def test_stream_merge(spark, tmp_path):
 
     merge_stream(stream, lambda: spark.read.parquet(held["at"]) if held else None, write, ["k"], [F.col("v")], str(tmp_path / "c")).awaitTermination(60)
     assert sorted(tuple(r) for r in spark.read.parquet(held["at"]).collect()) == [(1, 2, "c"), (2, 1, "b")]
+
+
+def test_stream_merges_into_buckets(spark, tmp_path):
+    from lyrebird.streaming.sessions import merge_stream_into
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "k int, v int, x string"
+    runs = [[(k, 1, "a") for k in range(40)], [(3, 2, "b"), (50, 1, "c")], [(3, 1, "old"), (7, 5, None)], []]
+    want, written = {}, []
+    for n, rows in enumerate(runs):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        merge_stream_into(spark.readStream.schema(schema).parquet(src), out, ["k"], [F.col("v")], str(tmp_path / "c"), buckets=8).awaitTermination(60)
+        for k, v, x in rows:
+            if k not in want or v >= want[k][0]:
+                want[k] = v, x
+        table = spark.read.parquet(out)
+        assert {r["k"]: (r["v"], r["x"]) for r in table.collect()} == want
+        written.append(set(table.inputFiles()))
+    assert len(written[0] & written[1]) >= 6 and written[2] == written[3]  # untouched buckets keep their files
