@@ -152,7 +152,7 @@ def measured(df: DataFrame, left: str, right: str, rate: str, sampled: Column, t
     before = F.floor(BEFORE_S * F.col(rate)).cast("int")
     frame = F.greatest(F.floor(signal.FRAME_S * F.col(rate)), F.lit(1)).cast("int")
     last = lambda a, n: F.slice(a, F.greatest(F.size(a) - n, F.lit(0)) + 1, n)
-    db = lambda a: signal.decibels(signal._rms(a))
+    db = lambda a: signal.decibels(signal.rms_of(a))
     out = df.withColumns({"__mono": signal.mono(F.col(left), F.col(right)), "__flat": signal.interleaved(F.col(left), F.col(right)), "__tail": F.lit(None).cast("array<double>") if tail is None else tail, "__sampled": sampled})
     out = signal.levels(out, "__mono").withColumn("peak", F.array_max(F.transform("__flat", F.abs)))
     out = out.withColumn("crest_db", F.when(F.col("rms") > 0, signal.decibels(F.col("peak")) - signal.decibels(F.col("rms"))).otherwise(0.0))

@@ -35,8 +35,8 @@ def doubles(samples: Column) -> Column:
     return F.transform(samples, lambda x: fine(x.cast("double")))
 
 
-def level(decibels: float) -> float:
-    return 10.0 ** (decibels / 20.0)
+def from_decibels(x: Column) -> Column:
+    return F.pow(F.lit(10.0), x / 20)
 
 
 def bit_depth(sample_format: Column) -> Column:
@@ -87,14 +87,14 @@ def _over(n: Column, f) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("int"), (n - 1).cast("int")), f)).otherwise(F.array().cast("array<double>"))
 
 
-def _rms(samples: Column) -> Column:
+def rms_of(samples: Column) -> Column:
     return F.sqrt(F.aggregate(samples, F.lit(0.0), lambda a, x: a + x * x) / F.size(samples))
 
 
 def frames(samples: Column, size: int | Column) -> Column:
     """Level in decibels of each whole frame of size samples; a short last one is left out."""
     size = size if isinstance(size, Column) else F.lit(size)
-    return once(samples, lambda s: _over(F.floor(F.size(s) / size), lambda i: decibels(_rms(F.slice(s, i * size + 1, size)))))
+    return once(samples, lambda s: _over(F.floor(F.size(s) / size), lambda i: decibels(rms_of(F.slice(s, i * size + 1, size)))))
 
 
 def silence(levels: Column, floor: float = SILENCE_DB) -> Column:

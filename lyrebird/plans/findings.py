@@ -105,7 +105,7 @@ def issue_rank(spark, d):
 @query("""SELECT p_partkey, CASE f WHEN 's16' THEN 16 WHEN 's16p' THEN 16 WHEN 'fltp' THEN 32 WHEN 'dbl' THEN 64 ELSE 0 END::INTEGER AS bits, round(pow(10, -p_size / 20), 9) AS level FROM (SELECT *, ['s16', 's16p', 'fltp', 'dbl', 'u8'][(p_size % 5 + 1)::INTEGER] AS f FROM part)""")
 def sample_depth_and_level(spark, d):
     f = F.element_at(F.array(*(F.lit(x) for x in ("s16", "s16p", "fltp", "dbl", "u8"))), (F.col("p_size") % 5 + 1).cast("int"))
-    return t(spark, d, "part").select("p_partkey", signal.bit_depth(f).alias("bits"), F.round(F.pow(F.lit(10.0), -F.col("p_size") / 20), 9).alias("level"))
+    return t(spark, d, "part").select("p_partkey", signal.bit_depth(f).alias("bits"), F.round(signal.from_decibels(-F.col("p_size")), 9).alias("level"))
 
 
 @query()
