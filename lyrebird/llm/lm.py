@@ -160,8 +160,8 @@ class Vocabulary:
         seen[0], seen[1 : 1 + top.shape[1]], seen[OWN:] = ends, top[1], tokens
         self.of_slot = np.zeros((2, SLOTS))
         self.of_slot[:, OWN:] = types, tokens
-        levels = [x.reshape(WIDE**d, WIDE, -1).sum(axis=2) for x in (seen, used) for d in range(DEPTH)]
-        n, used = (np.concatenate(x) for x in (levels[:DEPTH], [np.minimum(x, 1) for x in levels[DEPTH:]]))
+        of_nodes = lambda x: np.concatenate([x.reshape(WIDE**d, WIDE, -1).sum(axis=2) for d in range(DEPTH)])
+        n, used = of_nodes(seen), np.minimum(of_nodes(used), 1)
         p = (n + 0.5 * used) / np.maximum(n.sum(axis=1) + 0.5 * used.sum(axis=1), 0.5)[:, None]
         self.p, self.bias = p, np.where(used > 0, np.log(np.where(used > 0, p, 1)), np.where(used.any(axis=1), -1e4, 0.0)[:, None]).astype(np.float32)
         mass = n.sum(axis=1)
@@ -251,9 +251,12 @@ def _training(x: dict, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return _features(slot, sizes)[:, use], slot[use]
 
 
+#: A task's counts or changes of weights, in chunks.
+_PARTS = "chunk int, task int, met binary, sums binary"
+
+
 def _reduced(parts: DataFrame, tasks: int, add) -> DataFrame:
     """A row a chunk, merged over a tree: a task never has more than FAN rows of one."""
-    schema = "chunk int, task int, met binary, sums binary"
 
     def merge(group: pa.Table) -> pa.Table:
         met, sums = add([_unzip(x, np.float32) for x in group.column("met").to_pylist()], group.column("sums").to_pylist())
@@ -261,7 +264,7 @@ def _reduced(parts: DataFrame, tasks: int, add) -> DataFrame:
 
     while tasks > 1:
         tasks = -(-tasks // FAN)
-        parts = parts.withColumn("task", F.col("task") % tasks).groupBy("chunk", "task").applyInArrow(merge, schema)
+        parts = parts.withColumn("task", F.col("task") % tasks).groupBy("chunk", "task").applyInArrow(merge, _PARTS)
     return parts
 
 
@@ -272,9 +275,6 @@ def _sliced(met: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*parts), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["chunk", "task", "met", "sums"])
 
 
-_PARTS = "chunk int, task int, met binary, sums binary"
-
-
 def _first_weights(blocks: DataFrame, words: Vocabulary) -> np.ndarray:
     """How often each row met each class is counted over all training tokens; the weights that follow from it."""
     given = blocks.sparkSession.sparkContext.broadcast(words)  # of a fixed size
