@@ -484,7 +484,7 @@ def fft_cutoff(spark, d):
     """Sixteen vectors in a row are a signal, long enough for a few frames."""
     e = t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("clip"), "vec_id", signal.doubles(F.col("embedding")).alias("s"))
     joined = e.groupBy("clip").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "s"))), lambda x: x["s"])).alias("s"))
-    return joined.select("clip", signal.cutoff(F.col("s"), 8000.0, n_fft=64, least_db=3.0).alias("cutoff_hz"))
+    return joined.select("clip", signal.cutoff(F.col("s"), 8000.0, n_fft=64, least_db=1.0).alias("cutoff_hz"))
 
 
 # Ledger

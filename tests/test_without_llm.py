@@ -15,5 +15,5 @@ def test_entry_point_without_llm(tmp_path):
         (tmp_path / x.relative_to(root)).parent.mkdir(exist_ok=True)
         (tmp_path / x.relative_to(root)).write_text(x.read_text())
     run = lambda *args: subprocess.run([sys.executable, "-m", "pytest", "-q", *args], cwd=tmp_path, capture_output=True, text=True)
-    assert "error" not in run("--collect-only").stdout.lower() and run("tests/test_tracks.py").returncode == 0
+    assert run("--collect-only").returncode == 0 and run("tests/test_tracks.py").returncode == 0
     assert int(subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin:/bin"}).stdout) > 50
