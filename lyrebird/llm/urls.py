@@ -19,7 +19,7 @@ LEAST_PAGES = 5
 RATES = 32
 #: Smoothing: labelled pages that the host's and the corpus's rates count as. Significance of a difference of rates.
 WEIGHT, Z = 5.0, 1.96
-#: A template is rejected at this smoothed rate of bad pages, if its host has so many labelled ones.
+#: A template is rejected from this smoothed rate of bad pages. A branch with fewer labels is pooled with its like.
 REJECT, LEAST_LABELS = 0.5, 5
 VARIABLE = r"^([0-9]+|[0-9a-fA-F-]{8,}|[0-9]{4}-[0-9]{2}(-[0-9]{2})?)(\.[A-Za-z0-9]{1,5})?$"
 
@@ -54,14 +54,14 @@ def junk_text(html: Column) -> Column:
 
 
 def _grow(rows: DataFrame, level: int) -> DataFrame:
-    """The rows one level further down: template gets the branch that the next segment belongs to; more: it has branches.
+    """Paths one level further down: template gets the branch that the next segment belongs to; more: it has branches.
 
-    All rows have a segment at this level. Below a branch with under LEAST_PAGES pages all segments are wildcards.
+    A row is a host's path, with its number of pages. All have a segment at this level. Below a branch with under LEAST_PAGES pages all segments are wildcards.
     """
-    seg = F.get("segs", F.lit(level))
+    seg = F.get(F.array_remove(F.split("path", "/"), ""), F.lit(level))
     at = rows.withColumn("seg", F.when(seg.rlike(VARIABLE), F.lit("*")).otherwise(seg))
     # The rows' own columns are named apart, so that no join meets a clash.
-    counts = at.groupBy("host", "template", "seg").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
+    counts = at.groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "n_bad")))
     own = F.when(F.col("n") >= LEAST_PAGES, F.col("seg")).otherwise(F.lit("*"))
     sums = (F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("n_bad").alias("n_bad"))
     literal = counts.withColumn("branch", own).groupBy("host", "template", "branch").agg(*sums)
@@ -87,7 +87,7 @@ def _grow(rows: DataFrame, level: int) -> DataFrame:
     literals = table.where(F.col("branch") != "*").select("host", "template", F.col("branch").alias("seg"), "name", "pages")
     wild = table.where(F.col("branch") == "*").select("host", "template", F.col("name").alias("wild"), F.col("pages").alias("wild_pages"))
     out = at.join(literals, ["host", "template", "seg"], "left").join(wild, ["host", "template"], "left")
-    below = F.size("segs") - (level + 1)
+    below = F.size(F.array_remove(F.split("path", "/"), "")) - (level + 1)
     more = (below > 0) & (F.coalesce("pages", "wild_pages") >= LEAST_PAGES)
     rest = F.when(more, F.lit("")).otherwise(F.repeat(F.lit("/*"), below))
     down = out.withColumns({"template": F.concat("template", F.lit("/"), F.coalesce("name", "wild"), rest), "more": more})
@@ -98,10 +98,11 @@ def url_filter(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
     """page_id, host, path, rule, verdict (allow or block), template, n_labelled and block_rate of each row.
 
     A rule's verdict stands, and labels its page. bad (1 or 0, null: no label) labels pages without a rule. Those get their
-    template's verdict: block if at least LEAST_LABELS pages of its host are labelled and its rate of bad ones is REJECT or
-    more. Each rate is smoothed towards that of the branch above, the host's towards the corpus's, so a template without
-    labels has its parent's rate, and one with few is near it. n_labelled counts the template's own. A null url, or one without "://", has an empty host
-    and path and is judged with its like; repeated rows count each and get equal verdicts. No pages give no rows.
+    template's verdict: block if its rate of bad ones is REJECT or more. Each rate is smoothed towards that of the branch
+    above, the host's towards the corpus's and this towards none, so a template without labels has its parent's rate, and
+    one with few is near it. n_labelled counts the template's own. A null url, or one without "://", has an empty host and path and is judged with its like; urls may be
+    of any length. Repeated rows count each and get equal verdicts, whatever the other columns hold; a null page_id is passed
+    through. No pages give no rows.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), *([bad.cast("int").alias("bad")] if bad is not None else []))
@@ -109,16 +110,21 @@ def url_filter(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
     rows = rows.withColumns({"rule": rule, "by_rule": verdict})
     label = (F.col("by_rule") == "block").cast("int")
     rows = rows.withColumn("bad", label if bad is None else F.coalesce(label, "bad"))
-    segs = F.array_remove(F.split("path", "/"), "")
-    now = materialise(rows.withColumns({"segs": segs, "template": F.lit(""), "more": F.size(segs) > 0}), "url-rows")
-    rows, level = now.where("NOT more"), 0
+    rows = materialise(rows, "url-pages")
+    sums = (F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
+    # The tree grows on distinct paths with their counts; pages get their path's verdict at the end.
+    depth = F.size(F.array_remove(F.split("path", "/"), ""))
+    now = rows.groupBy("host", "path").agg(F.count("*").alias("n"), *sums).withColumns({"template": F.lit(""), "more": depth > 0})
+    now = materialise(now, "url-paths")
+    paths, level = now.where("NOT more"), 0
     while not (going := now.where("more")).isEmpty():
         now = _grow(going, level)
-        rows, level = rows.unionByName(now.where("NOT more")), level + 1
-    total = rows.agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")).first()
-    prior = (total["n_bad"] + 1.0) / (total["labelled"] + 2.0)
-    sums = (F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
-    templates = materialise(rows.groupBy("host", "template").agg(*sums), "url-templates")
+        paths, level = paths.unionByName(now.where("NOT more")), level + 1
+    paths = materialise(paths.drop("more"), "url-templates-of-paths")
+    sums = tuple(F.sum(c).alias(c) for c in ("labelled", "n_bad"))
+    total = paths.agg(*sums).first()
+    prior = (total["n_bad"] or 0) / ((total["labelled"] or 0) + 2 * WEIGHT)
+    templates = materialise(paths.groupBy("host", "template").agg(*sums), "url-templates")
     parts = F.split("template", "/")
     above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     nodes = templates.select("host", "labelled", "n_bad", F.explode(F.array_union(above, F.array("template"))).alias("node"))
@@ -128,7 +134,8 @@ def url_filter(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
     chains = chains.groupBy("host", "template", "labelled", "n_bad").agg(chain.alias("chain"))
     smooth = lambda n_bad, labelled, towards: (n_bad + WEIGHT * towards) / (labelled + WEIGHT)
     parent_rate = F.aggregate("chain", F.lit(float(prior)), lambda rate, x: smooth(x["node_bad"], x["node_labelled"], rate))
-    judged = chains.select("host", "template", F.col("labelled").alias("n_labelled"), F.get("chain", F.lit(0))["node_labelled"].alias("host_labelled"), smooth(F.col("n_bad"), F.col("labelled"), parent_rate).alias("block_rate"))
-    out = rows.join(materialise(judged, "url-judged"), ["host", "template"])
-    by_template = F.when((F.col("host_labelled") >= LEAST_LABELS) & (F.col("block_rate") >= REJECT), "block").otherwise("allow")
+    judged = chains.select("host", "template", F.col("labelled").alias("n_labelled"), smooth(F.col("n_bad"), F.col("labelled"), parent_rate).alias("block_rate"))
+    of_path = materialise(paths.select("host", "path", "template").join(judged, ["host", "template"]), "url-judged")
+    out = rows.join(of_path, ["host", "path"])
+    by_template = F.when(F.col("block_rate") >= REJECT, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_template).alias("verdict"), "template", "n_labelled", "block_rate")
