@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyrebird.llm import shared, warc
+from lyrebird.llm.langid import identify_languages
 from lyrebird.llm.lm import score_documents
 from lyrebird.llm.maxscore import max_score_top_k
 from lyrebird.llm.mixing import mix_sources
 from lyrebird.llm.ngram_join import jaccard_classes
 from lyrebird.llm.packing import pack_documents
 from lyrebird.llm.pii import pseudonyms
+from lyrebird.llm.prefix_trie import prefix_trie
 from lyrebird.llm.quality import STOP_WORDS, quality_rules
+from lyrebird.llm.resample import resample
 from lyrebird.llm.token_store import digest, read_token_ids, write_token_ids
 from lyrebird.llm.urls import junk_text, url_filter
 
@@ -71,12 +74,25 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read_token_ids(spark, path))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return identify_languages(shared.table(spark, sf_dir, "documents"), held_out)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(shared.table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_feistel_pii, op3_maxent_scores, op4_jaccard_trie, op5_max_score, op6_poisson_mix, op7_warc, op8_quality_rules, op9_url_templates, op10_orc_token_ids)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_feistel_pii, op3_maxent_scores, op4_jaccard_trie, op5_max_score, op6_poisson_mix, op7_warc, op8_quality_rules, op9_url_templates, op10_orc_token_ids, op11_importance_resample, op12_language_id, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_max_score": OP5_SQL, "op6_poisson_mix": OP6_SQL, "op7_warc": OP7_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op5_max_score": OP5_SQL, "op6_poisson_mix": OP6_SQL, "op7_warc": OP7_SQL, "op8_quality_rules": OP8_SQL, "op11_importance_resample": OP11_SQL, "op13_prefix_trie": OP13_SQL}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -137,3 +153,55 @@ c AS (SELECT d.doc_id, count(*) AS copies FROM d JOIN steps ON d.source IS NOT D
 e AS (SELECT d.* EXCLUDE u, unnest(range(copies))::INTEGER AS copy FROM d JOIN c USING (doc_id))
 SELECT *, md5(concat_ws('|', 'mix', 'order', doc_id::VARCHAR, coalesce(source, ''), copy::VARCHAR)) AS shuffle_key FROM e
 """
+
+# DuckDB has no crc32: its table of 256 values by eight steps each, then byte by byte over each distinct value x of a table v.
+_CRC32 = """
+steps AS (SELECT b, 0 AS i, b::UBIGINT AS c FROM range(256) AS r(b) UNION ALL SELECT b, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE i < 8),
+lookup AS (SELECT list(c ORDER BY b) AS l FROM steps WHERE i = 8),
+bytes AS (SELECT x, hex(encode(x)) AS h FROM v),
+crc AS (
+  SELECT x, 0 AS i, 4294967295::UBIGINT AS c, h FROM bytes
+  UNION ALL SELECT x, i + 1, xor(c >> 8, l[(xor(c & 255, ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT) + 1)::BIGINT]), h FROM crc, lookup WHERE 2 * i < length(h)),
+crc32 AS (SELECT x, xor(c, 4294967295) AS crc FROM crc WHERE 2 * i = length(h))"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP11_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, {_ALNUM} AS w FROM documents),
+b AS (SELECT unnest({_ALNUM}) AS x FROM benchmark),
+f AS (SELECT r, unnest(w) AS x FROM d),
+v AS (SELECT x FROM f UNION SELECT x FROM b),
+{_CRC32},
+s AS (SELECT crc % 10000 AS k, count(*) AS s FROM f JOIN crc32 USING (x) GROUP BY 1),
+t AS (SELECT crc % 10000 AS k, count(*) AS t FROM b JOIN crc32 USING (x) GROUP BY 1),
+total AS (SELECT (SELECT count(*) FROM f) AS big_s, (SELECT count(*) FROM b) AS big_t),
+g AS (
+  SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (big_s + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (big_t + 10000)::DOUBLE)))::BIGINT AS g
+  FROM s FULL JOIN t USING (k), total),
+m AS (SELECT r, count(*) AS n, sum(g) AS total FROM f JOIN crc32 USING (x) JOIN g ON g.k = crc % 10000 GROUP BY r),
+e AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(total::DOUBLE / n), 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (r)),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM e),
+p AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, n_features) AS place, (SELECT count(*) FROM z WHERE n_features >= 20) AS n FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM p
+"""
+
+OP13_SQL = f"""
+WITH RECURSIVE own AS (
+  SELECT conv_id AS c, list(struct_pack(role := coalesce(role, ''), txt := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+v AS (SELECT c::VARCHAR AS x FROM own),
+{_CRC32},
+h AS (SELECT o.c, o.t, b.t AS base, (crc % 9)::BIGINT AS h FROM own o JOIN crc32 ON x = o.c::VARCHAR LEFT JOIN own b ON b.c = o.c - o.c % 5),
+r AS (SELECT c, list_concat(coalesce(base[:h], []), t[h + 1:]) AS t FROM h),
+m AS (SELECT c, len(t) AS long, unnest(range(len(t) + 1)) AS d, t FROM r),
+n AS (
+  SELECT d, t[:d] AS p, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (long = d), '')) AS ends_sha256
+  FROM m GROUP BY 1, 2),
+k AS (
+  SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND x.p[:n.d] = n.p) AS n_children,
+    CASE WHEN n.d > 0 THEN (n.n_convs - 1) * octet_length(encode(n.p[n.d].txt)) ELSE 0 END AS own_saved
+  FROM n LEFT JOIN n u ON u.d = n.d - 1 AND u.p = n.p[:n.d - 1]),
+up AS (SELECT unnest(range(d + 1)) AS d, p, n_children, own_saved FROM k),
+s AS (SELECT d, p[:d] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(own_saved) AS saved FROM up GROUP BY 1, 2)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved::BIGINT AS saved_tokens, ends_sha256 FROM k JOIN s USING (d, p)
+"""
