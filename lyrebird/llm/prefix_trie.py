@@ -242,6 +242,8 @@ def _level(items: DataFrame, level: int) -> tuple[DataFrame, bool]:
     parts = -(-(turns["t"] or 0) // TURNS)
     if level == 0:
         parts = max(parts, min(int(spark.conf.get("spark.sql.shuffle.partitions")), turns["n"]))
+    else:
+        parts = min(parts, turns["n"] // 4)  # a range hands on two paths at most, so these are halved at least
     last = parts <= 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -32,11 +32,12 @@ def words(text: Column) -> Column:
 
 def runs(tokens: Column, longest: int) -> Column:
     """All runs of 1 to `longest` consecutive words, joined by one space, repeats included."""
-    out = [tokens]
-    for n in range(2, longest + 1):
+
+    def of(n: int) -> Column:
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
-    return out[0] if longest == 1 else F.concat(*out)
+        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    return tokens if longest == 1 else F.concat(tokens, *(of(n) for n in range(2, longest + 1)))
 
 
 def bucket_of(feature: Column, buckets: int) -> Column:
