@@ -187,11 +187,8 @@ def passes(confidence: Column, least: Column | float) -> Column:
     return F.coalesce(confidence >= least, F.lit(False))
 
 
-def seats(pairs: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:
-    """Greedy one-to-one matching within each group: the best pair whose two sides are both free, again and again.
-
-    Groups are folders of tracks and their release's entries, so a group fits a task; its pairs come ordered.
-    """
+def _greedy(pairs: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:
+    """Greedy matching of each group in one task."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*group, left, right, score).schema)
 
     def take(g: pd.DataFrame) -> pd.DataFrame:
@@ -208,6 +205,35 @@ def seats(pairs: DataFrame, group: list[str], left: str, right: str, score: str)
     return pairs.select(*group, left, right, score).groupBy(*group).applyInPandas(take, fields)
 
 
+def seats(pairs: DataFrame, group: list[str], left: str, right: str, score: str, small: int = 100_000) -> DataFrame:
+    """Greedy one-to-one matching within each group: the best pair whose two sides are both free, again and again; of equal
+    scores the one with the smaller left, then right. Pairs without a score are not matched.
+
+    Groups of up to `small` pairs are worked through in a task each. In larger ones, all pairs that are the best of both
+    their sides are taken at once, since greedy takes each of them whatever comes before; what they leave is dealt with
+    again, until it is small. A round is two aggregations by side and an anti-join, written once; nothing is gathered by group.
+    """
+    from lyrebird.operators import steps
+
+    rest, out = pairs.select(*group, left, right, score).where(F.col(score).isNotNull()), None
+    while True:
+        rest = steps.written(rest)
+        size = rest.groupBy(*group).agg(F.count("*").alias("__n"))
+        large = size.where(F.col("__n") > small).select(*group)
+        if large.isEmpty():
+            last = _greedy(rest, group, left, right, score)
+            return last if out is None else out.unionByName(last)
+        done = _greedy(rest.join(large, group, "left_anti"), group, left, right, score)
+        many = rest.join(large, group, "left_semi")
+        best = F.min(F.struct((-F.col(score)).alias("less"), F.col(left).alias("l"), F.col(right).alias("r"))).alias("__best")
+        by_left, by_right = many.groupBy(*group, left).agg(best), many.groupBy(*group, right).agg(best)
+        pick = lambda df: df.select(*group, F.col("__best.l").alias(left), F.col("__best.r").alias(right), (-F.col("__best.less")).alias(score))
+        taken = steps.written(pick(by_left).join(pick(by_right).select(*group, left, right), [*group, left, right], "left_semi"))
+        found = steps.written(done).unionByName(taken)
+        out = found if out is None else out.unionByName(found)
+        rest = many.join(taken.select(*group, left), [*group, left], "left_anti").join(taken.select(*group, right), [*group, right], "left_anti")
+
+
 def best_release(df: DataFrame, group: list[str], official: Column, kind: Column, secondary: Column, date: Column, seq: list[str]) -> DataFrame:
     """The release that names a recording: official, an album before an EP before others, no compilation, the earliest."""
     order = F.when(kind == "album", 0).when(kind == "ep", 1).otherwise(2)
