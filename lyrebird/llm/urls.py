@@ -1,6 +1,7 @@
 """URL filters: host and path rules, and for all other pages a tree of path templates with labelled purity.
 
-The tree grows level by level over all hosts at once, to the paths' ends. At a node, segments that look like numbers,
+The tree grows level by level over all hosts at once, to the paths' ends or LEVELS deep, where the rest of a path counts as
+one segment. At a node, segments that look like numbers,
 hashes or dates, or that have too few pages to tell anything, become the wildcard; labelled branches whose rates of bad
 pages don't differ significantly are merged, and so are those with too few labels. A template is rejected by its
 smoothed rate.
@@ -17,6 +18,8 @@ from lyrebird.llm.shared import materialise
 LEAST_PAGES = 5
 #: Branches of a node are first pooled by rates in steps of 1 / RATES.
 RATES = 32
+#: Levels of the tree, and so rounds, whatever the depth of a path: what is left of it at the last one is one segment.
+LEVELS = 16
 #: Smoothing: labelled pages that the host's and the corpus's rates count as. Significance of a difference of rates.
 WEIGHT, Z = 5.0, 1.96
 #: A template is rejected from this smoothed rate of bad pages. A branch with fewer labels is pooled with its like.
@@ -58,7 +61,9 @@ def _grow(rows: DataFrame, level: int) -> DataFrame:
 
     A row is a host's path, with its number of pages. All have a segment at this level. Below a branch with under LEAST_PAGES pages all segments are wildcards.
     """
-    seg = F.get(F.array_remove(F.split("path", "/"), ""), F.lit(level))
+    parts = F.array_remove(F.split("path", "/"), "")
+    at_end = level == LEVELS - 1
+    seg = F.array_join(F.slice(parts, level + 1, F.greatest(F.size(parts), F.lit(1))), ">") if at_end else F.get(parts, F.lit(level))
     at = rows.withColumn("seg", F.when(seg.rlike(VARIABLE), F.lit("*")).otherwise(seg))
     # The rows' own columns are named apart, so that no join meets a clash.
     counts = at.groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "n_bad")))
@@ -87,9 +92,9 @@ def _grow(rows: DataFrame, level: int) -> DataFrame:
     literals = table.where(F.col("branch") != "*").select("host", "template", F.col("branch").alias("seg"), "name", "pages")
     wild = table.where(F.col("branch") == "*").select("host", "template", F.col("name").alias("wild"), F.col("pages").alias("wild_pages"))
     out = at.join(literals, ["host", "template", "seg"], "left").join(wild, ["host", "template"], "left")
-    below = F.size(F.array_remove(F.split("path", "/"), "")) - (level + 1)
+    below = F.lit(0) if at_end else F.size(parts) - (level + 1)
     more = (below > 0) & (F.coalesce("pages", "wild_pages") >= LEAST_PAGES)
-    rest = F.when(more, F.lit("")).otherwise(F.repeat(F.lit("/*"), below))
+    rest = F.when(more, F.lit("")).otherwise(F.concat(F.repeat(F.lit("/*"), F.least(below, F.lit(LEVELS))), F.when(below > LEVELS, "/**").otherwise("")))
     down = out.withColumns({"template": F.concat("template", F.lit("/"), F.coalesce("name", "wild"), rest), "more": more})
     return materialise(down.drop("seg", "name", "pages", "wild", "wild_pages"), "url-rows")
 

@@ -495,6 +495,19 @@ def test_archive(spark, tmp_path):
     assert warc.read_archive(spark, folder, warc.write_archive(warc.with_types(df.limit(0)), folder)).count() == 0
 
 
+def test_urls_of_any_depth_take_as_many_rounds(spark):
+    from lyrebird.llm.urls import LEVELS, url_filter
+
+    deep = "/".join(["trap"] * 2000)
+    urls = [(i, f"http://a.org/{deep}/{i % 2}", i % 2) for i in range(12)] + [(20 + i, f"http://a.org/{'x/' * (LEVELS - 1)}{'bad' if i % 2 else 'good'}", i % 2) for i in range(12)]
+    df = spark.createDataFrame(urls, "page_id int, url string, label int")
+    from pyspark.sql import functions as F
+
+    got = {r["page_id"]: r for r in url_filter(df, bad=F.col("label")).collect()}
+    assert len(got) == 24 and all(r["verdict"] == ("block" if i % 2 else "allow") for i, r in got.items())
+    assert all(len(r["template"].split("/")) <= LEVELS + 1 for r in got.values())
+
+
 def test_url_parts_and_rules(spark):
     from lyrebird.llm.urls import RULES, url_filter
 
