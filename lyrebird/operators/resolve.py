@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -188,21 +188,25 @@ def passes(confidence: Column, least: Column | float) -> Column:
 
 
 def _greedy(pairs: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:
-    """Greedy matching of each group in one task."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*group, left, right, score).schema)
-
-    def take(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([score, left, right], ascending=[False, True, True], kind="stable")
-        used_l, used_r, keep = set(), set(), []
-        for a, b in zip(g[left], g[right]):
-            free = a not in used_l and b not in used_r
-            keep.append(free)
-            if free:
-                used_l.add(a)
-                used_r.add(b)
-        return g[keep]
-
-    return pairs.select(*group, left, right, score).groupBy(*group).applyInPandas(take, fields)
+    """Greedy matching of each group in one task, which reads its pairs in order and holds the sides that are taken."""
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used_l, used_r = None, set(), set()
+        for batch in batches:
+            keep = []
+            for key, a, b in zip(zip(*(batch[c] for c in group)), batch[left], batch[right]):
+                if key != now:
+                    now, used_l, used_r = key, set(), set()
+                free = a not in used_l and b not in used_r
+                keep.append(free)
+                if free:
+                    used_l.add(a)
+                    used_r.add(b)
+            yield batch[keep]
+
+    rows = pairs.select(*group, left, right, score)
+    ordered = rows.repartition(*group).sortWithinPartitions(*group, F.desc(score), left, right)
+    return ordered.mapInPandas(take, rows.schema)
 
 
 def seats(pairs: DataFrame, group: list[str], left: str, right: str, score: str, small: int = 100_000) -> DataFrame:
