@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lyrebird.operators import selection
+
 #: A clipped sample and a long run of them; a click's jump in local deviations, and at least.
 CLIP, CLIP_RUN = 0.9995, 4
 CLICK_SIGMA, CLICK_LEAST = 14.0, 0.08
@@ -203,11 +205,9 @@ def clip_severity(ratio: Column, long_runs: Column) -> Column:
 
 
 def block_floor(rows: DataFrame, key: list[str], block: Column, value: str) -> DataFrame:
-    """Median and scaled median deviation of the values of each block."""
-    b = rows.withColumn("block", block)
-    med = b.groupBy(*key, "block").agg(F.median(value).alias("median"))
-    dev = b.join(med, [*key, "block"]).groupBy(*key, "block").agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    return dev.withColumn("sigma", F.greatest(1.4826 * F.col("mad"), F.lit(1e-7)))
+    """Median and scaled median deviation of the values of each block that has one, however many these are."""
+    out = selection.deviations(rows.withColumn("block", block), [*key, "block"], F.col(value))
+    return out.withColumn("sigma", F.greatest(1.4826 * F.col("mad"), F.lit(1e-7)))
 
 
 def _spectrum(x: np.ndarray, rate: float, n_fft: int) -> tuple[np.ndarray, np.ndarray] | None:
