@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lyrebird.functions import text
-from lyrebird.operators import catalog, ledger, resolve, tracks
+from lyrebird.operators import catalog, ledger, numbers, resolve, tracks
 from lyrebird.plans import identify as ends
 from lyrebird.plans.catalogue import query, t
 from lyrebird.sources import files
@@ -251,11 +251,10 @@ def companion_files(spark, d):
 
 @query("""SELECT p_partkey, row_number() OVER (ORDER BY p_size, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END, CASE p_partkey % 3 WHEN 1 THEN 'beta' WHEN 2 THEN 'rc1' ELSE '' END, p_partkey)::INTEGER AS place FROM part""")
 def version_order(spark, d):
-    from pyspark.sql import Window
-
     n = F.col("p_partkey") % 3
     v = F.concat(F.lit("v1."), F.col("p_size").cast("string"), F.when(n == 1, "-beta").when(n == 2, "+rc1").otherwise(""))
-    return t(spark, d, "part").select("p_partkey", F.row_number().over(Window.orderBy(text.version_key(v), "p_partkey")).alias("place"))
+    versions = t(spark, d, "part").select("p_partkey", text.version_key(v).alias("version"))
+    return numbers.numbered(versions, [F.col("version"), F.col("p_partkey")], "place").select("p_partkey", F.col("place").cast("int").alias("place"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN n >= 2 THEN 'b' ELSE 'a' END AS title, CASE WHEN n >= 2 THEN 70.0 ELSE 90.0 END::DOUBLE AS confidence, CASE WHEN n >= 2 THEN 1 ELSE 0 END::INTEGER AS chosen_index FROM (SELECT o_orderkey, o_orderkey % 3 + 1 AS n FROM orders)""")
