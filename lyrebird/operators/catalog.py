@@ -141,3 +141,18 @@ def interpolate(x: Column, points: list[tuple[float, float]]) -> Column:
     for (x0, y0), (x1, y1) in zip(points, points[1:]):
         out = out.when(x <= x1, F.lit(y0) + (x - x0) * ((y1 - y0) / (x1 - x0)))
     return out.otherwise(F.when(x.isNotNull(), F.lit(points[-1][1])))
+
+
+def flagged(df: DataFrame, analysed: str, issues: str) -> DataFrame:
+    """One row: how many are analysed, and how many of these have an issue."""
+    done = F.coalesce(F.col(analysed), F.lit(False))
+    return df.agg(F.count_if(done).alias("analysed"), F.count_if(done & (F.coalesce(F.array_size(issues), F.lit(0)) > 0)).alias("flagged"))
+
+
+def sortable(df: DataFrame, tags: str) -> DataFrame:
+    """kind (tag or file), name and place of each column that can be shown and sorted by: the fields of the struct `tags`
+    in their order, then the other columns by name."""
+    inner = df.schema[tags].dataType.names
+    outer = sorted(c for c in df.columns if c != tags)
+    rows = [("tag", c, i) for i, c in enumerate(inner)] + [("file", c, i) for i, c in enumerate(outer)]
+    return df.sparkSession.createDataFrame(rows, "kind string, name string, place int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lyrebird.operators import moves
+from lyrebird.operators import catalog, layout, moves
 from lyrebird.plans import identify
 from lyrebird.plans.catalogue import query, t
 
@@ -63,3 +63,26 @@ def rename_chains(spark, d):
     found = moves.files(log)
     entries = found.groupBy("origin", "born").agg(F.count("*").alias("entries"))
     return moves.state_at(found).join(entries, ["origin", "born"]).select("origin", "path", "tags", "entries")
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, CASE WHEN p_size > 40 THEN '/m/a/' WHEN p_size > 20 THEN '/x/y/z/' ELSE '/m/' END || p_partkey || '.MP3' AS path, CASE WHEN p_partkey % 3 > 0 THEN p_brand || '/' || p_type END AS aa, CASE WHEN p_partkey % 4 > 0 THEN p_brand END AS a,
+  CASE WHEN p_partkey % 5 > 0 THEN p_type ELSE '' END AS album, CASE WHEN p_partkey % 7 > 0 THEN p_name END AS title, p_size % 4 AS track, p_size % 3 AS disc, CASE WHEN p_partkey % 6 = 0 THEN 2 ELSE 0 END AS discs, CASE WHEN p_partkey % 2 = 0 THEN 1990 + p_size % 3 END AS year FROM part),
+n AS (SELECT k, CASE WHEN path LIKE '/m/a/%' THEN '/m/a' WHEN path LIKE '/m/%' THEN '/m' ELSE '/x/y' END || '/' || replace(coalesce(aa, a, 'Unknown Artist'), '/', '-') || '/' || coalesce(nullif(album, ''), 'Unknown Album') || coalesce(' (' || year || ')', '') || '/' AS folder,
+  CASE WHEN disc > 0 AND (discs > 1 OR (discs = 0 AND disc > 1)) THEN disc || '-' ELSE '' END AS d, CASE WHEN track > 0 THEN lpad(track::VARCHAR, 2, '0') ELSE '' END AS t, coalesce(title, k::VARCHAR) AS title FROM f WHERE title IS NOT NULL OR album <> ''),
+o AS (SELECT k, folder, CASE WHEN t <> '' THEN d || t || ' - ' || title WHEN d <> '' THEN left(d, 1) || ' - ' || title ELSE title END AS name FROM n)
+SELECT k AS p_partkey, folder || name || CASE WHEN r > 1 THEN ' (' || r || ')' ELSE '' END || '.mp3' AS planned FROM (SELECT *, row_number() OVER (PARTITION BY lower(folder), lower(name) ORDER BY k) AS r FROM o)""")
+def plan_paths(spark, d):
+    """Parts as files below two roots or none, with tags of which some are blank."""
+    p, k, n = t(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    path = F.concat(F.when(n > 40, "/m/a/").when(n > 20, "/x/y/z/").otherwise("/m/"), k.cast("string"), F.lit(".MP3"))
+    tag = {
+        "album_artist": F.when(k % 3 > 0, F.concat("p_brand", F.lit("/"), "p_type")), "artist": F.when(k % 4 > 0, F.col("p_brand")), "album": F.when(k % 5 > 0, F.col("p_type")).otherwise(""),
+        "title": F.when(k % 7 > 0, F.col("p_name")), "track_no": n % 4, "disc_no": n % 3, "disc_total": F.when(k % 6 == 0, 2).otherwise(0), "year": F.when(k % 2 == 0, 1990 + n % 3),
+    }
+    return layout.planned(p.withColumn("path", path), "path", "p_partkey", tag, "{album_artist}/{album}{year_suffix}", "{disc_prefix}{track:02d} - {title}", ["/m/a", "/m"]).select("p_partkey", "planned")
+
+
+@query("SELECT count(*) FILTER (doc_id % 3 > 0) AS analysed, count(*) FILTER (doc_id % 3 > 0 AND (quality = 0 OR toxic = 1)) AS flagged FROM labels")
+def flagged_count(spark, d):
+    issues = F.filter(F.array(F.when(F.col("quality") == 0, "quality"), F.when(F.col("toxic") == 1, "toxic")), lambda i: i.isNotNull())
+    return catalog.flagged(t(spark, d, "labels").select((F.col("doc_id") % 3 > 0).alias("analysed"), issues.alias("issues")), "analysed", "issues")

@@ -58,3 +58,8 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], version: list[Column]
     from lyrebird.operators.ledger import latest
 
     latest(old.unionByName(new, allowMissingColumns=True), key, version).write.parquet(path)
+
+
+def cleared(rows: DataFrame, path: str) -> None:
+    """Replace the table at path by an empty one with the columns of rows."""
+    rows.limit(0).write.mode("overwrite").parquet(path)
