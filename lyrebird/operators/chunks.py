@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lyrebird.operators import signal
+from lyrebird.operators import signal, steps
 
 #: Summaries that a task merges at a time; chunks (frames) that a task numbers (puts in a row) at a time.
 FAN, SPAN = 64, 4096
@@ -36,7 +36,11 @@ def _same(df: DataFrame, key: list[str], other: DataFrame, *more: str, how: str
 
 
 def folded(rows: DataFrame, key: list[str], at: str, summary: str, zero: Column, merge) -> DataFrame:
-    """key and summary: all of a key's summaries, merged in the order of `at`, FAN at a time in as many rounds as that takes."""
+    """key and summary: all of a key's summaries, merged in the order of `at`, FAN at a time in as many rounds as that takes.
+
+    Summaries are written once: the range of their places, which says how many rounds there are, is asked of the table.
+    """
+    rows = steps.stored(rows.select(*key, at, summary), "summaries")
     low, high = rows.agg(F.min(at), F.max(at)).first()
     width = 0 if low is None else high - low
     out = rows.withColumn("__at", F.col(at) - F.lit(low or 0)).select(*key, "__at", F.col(summary).alias("__s"))
