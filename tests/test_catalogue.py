@@ -20,7 +20,7 @@ def rows_of(spark, name):
 
 
 def test_queries_without_sql_are_all_held_against_brute_force():
-    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"dup_blocked_fuzzy", "seat_greedy", "similarity_pairs", "fft_cutoff", "quality_report", "identify_parts"}
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"dup_blocked_fuzzy", "seat_greedy", "similarity_pairs", "fft_cutoff", "quality_report", "identify_parts", "similar_titles"}
 
 
 def test_dup_blocked_fuzzy(spark):
