@@ -26,6 +26,8 @@ from lyrebird.operators import steps
 
 #: Entries of one key that a task meets at most on each side, on average; a key with more is dealt over tiles.
 TILE = 4096
+#: Longs of a bag's bitmap. Names of 50 letters fill a fifth of 256 bits; the bitmap of a very long name prunes nothing.
+BITMAP = tuple(f"bits_{i}" for i in range(4))
 #: What products of doubles may be off by.
 _EPS = 1e-9
 
@@ -51,27 +53,33 @@ def _elements(names: DataFrame) -> DataFrame:
 
 
 def _bags(elements: DataFrame, least: float) -> DataFrame:
-    """id, whole, n (elements), length, bits (two longs) and prefix: the rarest elements, one of which any bag alike has."""
+    """id, whole, n (elements), length, a bitmap and prefix: the rarest elements, one of which any bag alike has."""
     known = elements.join(elements.groupBy("element").count(), "element")
-    bit = F.pmod(F.xxhash64("element"), F.lit(128)).cast("int")
+    bit = F.pmod(F.xxhash64("element"), F.lit(64 * len(BITMAP))).cast("int")
     one = F.expr("shiftleft(1L, __bit % 64)")
     known = known.withColumn("__bit", bit)
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("count", "element"))), lambda x: x["element"])
-    bits = [F.coalesce(F.bit_or(F.when(F.col("__bit") < 64, one)), F.lit(0).cast("long")).alias("low"), F.coalesce(F.bit_or(F.when(F.col("__bit") >= 64, one)), F.lit(0).cast("long")).alias("high")]
+    bits = [F.coalesce(F.bit_or(F.when(F.floor(F.col("__bit") / 64) == i, one)), F.lit(0).cast("long")).alias(c) for i, c in enumerate(BITMAP)]
     bags = known.groupBy("id", "whole").agg(ordered.alias("ordered"), *bits).withColumn("n", F.size("ordered")).withColumn("length", F.col("n") - 1)
     fewest = F.ceil(1 + F.col("length") * (1 + least / (2 - least)) * (1.5 * least - 1) - _EPS)
-    return bags.select("id", "whole", "n", "length", "low", "high", F.slice("ordered", 1, (F.col("n") - fewest + 1).cast("int")).alias("prefix"))
+    return bags.select("id", "whole", "n", "length", *BITMAP, F.slice("ordered", 1, (F.col("n") - fewest + 1).cast("int")).alias("prefix"))
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks of a step whose rows are small for the work that they make; if merged by their bytes, they would be few."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _tiled(left: DataFrame, right: DataFrame, key: str, fits: Column) -> DataFrame:
     """a and b, the smaller id first, of left and right entries that share a key and fit; columns of left begin with a_, of right
     with b_. A key with more than TILE right entries is dealt over tiles by both ids, so that no task meets all of its pairs."""
+    tasks = _tasks(left)
     tiles = right.groupBy(key).count().where(F.col("count") > TILE).select(key, F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
 
     def dealt(side: DataFrame, own: str, others: str, name: str) -> DataFrame:
         known = side.join(tiles, key, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
         known = known.withColumn(own, F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn(others, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
-        return known.select(key, "__i", "__j", *(F.col(c).alias(f"{name}_{c}") for c in side.columns if c != key))
+        return known.select(key, "__i", "__j", *(F.col(c).alias(f"{name}_{c}") for c in side.columns if c != key)).repartition(tasks, key, "__i", "__j")
 
     met = dealt(left, "__i", "__j", "a").join(dealt(right, "__j", "__i", "b"), [key, "__i", "__j"]).where(fits)
     return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
@@ -79,12 +87,12 @@ def _tiled(left: DataFrame, right: DataFrame, key: str, fits: Column) -> DataFra
 
 def _missing(one: str, other: str) -> Column:
     """At most as many as the elements of one that other lacks."""
-    return sum(F.bit_count(F.col(f"{one}_{c}").bitwiseAND(F.bitwise_not(f"{other}_{c}"))) for c in ("low", "high"))
+    return sum(F.bit_count(F.col(f"{one}_{c}").bitwiseAND(F.bitwise_not(f"{other}_{c}"))) for c in BITMAP)
 
 
 def _near(bags: DataFrame, least: float) -> DataFrame:
     """Pairs of ids whose bags may overlap as much as alike names' do."""
-    entries = bags.select("id", "n", "length", "low", "high", F.posexplode("prefix").alias("at", "element"))
+    entries = bags.select("id", "n", "length", *BITMAP, F.posexplode("prefix").alias("at", "element"))
     both = F.col("a_length") + F.col("b_length")
     overlap = 1 + both * (1.5 * least - 1) - _EPS
     fits = F.col("a_id") < F.col("b_id")
@@ -99,7 +107,7 @@ def _contained(names: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     words = names.select("id", F.explode(F.array_distinct(F.split("name", " "))).alias("word")).withColumn("weight", F.char_length("word") + 1)
     known = words.join(words.groupBy("word").count(), "word")
     rest = F.sum("weight").over(Window.partitionBy("id").orderBy("count", "word").rowsBetween(0, Window.unboundedFollowing))
-    sets = bags.where("NOT whole").select("id", "length", "low", "high")
+    sets = bags.where("NOT whole").select("id", "length", *BITMAP)
     entries = known.select("id", "word", (rest - 1).alias("rest")).join(sets, "id")
     need = least / (2 - least)
     probes = entries.where(F.col("rest") >= F.col("length") * need - _EPS)
@@ -112,7 +120,7 @@ def candidates(names: DataFrame, least: float) -> DataFrame:
     if not 2 / 3 < least <= 1:
         raise ValueError("least must be over 2/3 and at most 1: below, alike names need not share pairs of characters")
     bags = steps.stored(_bags(steps.stored(_elements(names), "elements"), least), "bags")
-    return _near(bags, least).unionByName(_contained(names, bags, least)).distinct()
+    return _near(bags, least).unionByName(_contained(names, bags, least)).repartition(_tasks(names), "a", "b").distinct()
 
 
 def alike(names: DataFrame, name: str, least: float) -> DataFrame:
