@@ -55,10 +55,14 @@ def normalise_unicode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(folded) if len(s) else s
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """2 * longest common subsequence / sum of the lengths, with bit-parallel rows; 1 for two empty strings."""
-    if not a and not b:
-        return 1.0
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with bit-parallel rows; a shared beginning is part of one."""
+    start = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        start += 1
+    a, b = a[start:], b[start:]
     at: dict[str, int] = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
@@ -67,7 +71,12 @@ def indel_ratio(a: str, b: str) -> float:
     for x in b:
         hit = rest & at.get(x, 0)
         rest = (rest + hit | rest - hit) & full
-    return 2 * (len(a) - rest.bit_count()) / (len(a) + len(b))
+    return start + len(a) - rest.bit_count()
+
+
+def indel_ratio(a: str, b: str) -> float:
+    """2 * longest common subsequence / sum of the lengths; 1 for two empty strings."""
+    return 2 * _common(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -76,10 +85,14 @@ def token_set_ratio(a: str, b: str) -> float:
     if not x or not y:
         return 0.0
     both, only_x, only_y = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
-    if both and (not only_x or not only_y):
+    if not both:
+        return indel_ratio(only_x, only_y)
+    if not only_x or not only_y:
         return 1.0
-    join = lambda own: f"{both} {own}".strip()
-    return max([indel_ratio(join(only_x), join(only_y)), *([indel_ratio(both, join(only_x)), indel_ratio(both, join(only_y))] if both else [])])
+    # Shared words stand first: they are the subsequence that they have in common with either side.
+    n = len(both)
+    shared = max(2 * n / (2 * n + 1 + len(own)) for own in (only_x, only_y))
+    return max(shared, 2 * (n + 1 + _common(only_x, only_y)) / (2 * n + 2 + len(only_x) + len(only_y)))
 
 
 def likeness(a: str | None, b: str | None, **how: bool) -> float:
