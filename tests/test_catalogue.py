@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lyrebird.functions import text
 from lyrebird.operators import signal
-from lyrebird.plans import catalogue, findings, resolution  # noqa: F401  they register their queries
+from lyrebird.plans import catalogue, findings, resolution, search  # noqa: F401  they register their queries
 
 SF = "/root/testdata/sf0.001"
 
