@@ -99,12 +99,13 @@ def within(left: DataFrame, right: DataFrame, value: str, other: str, most: floa
 def vote(df: DataFrame, group: list[str], choice: str, seq: list[str], least: int = 3, share: float = 0.5) -> DataFrame:
     """A group's most frequent choice, ties to the one seen first; votes, share, and whether it carries.
 
-    First seen is the smallest seq among the rows of a choice. A group is counted before it is shuffled to one place.
+    First seen is the smallest seq among the rows of a choice; of those with the same seq, the smallest choice. A group is
+    counted before it is shuffled to one place.
     """
     first = F.min(F.struct(*seq)).alias("first")
     counts = df.where(F.col(choice).isNotNull()).groupBy(*group, choice).agg(F.count("*").alias("votes"), first)
     w = Window.partitionBy(*group)
-    ranked = counts.withColumn("matched", F.sum("votes").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("votes"), "first")))
+    ranked = counts.withColumn("matched", F.sum("votes").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("votes"), "first", choice)))
     ratio = F.col("votes") / F.col("matched")
     return ranked.where("r = 1").select(*group, choice, "votes", "matched", ratio.alias("share"), ((F.col("matched") >= least) & (ratio >= share)).alias("carried"))
 
