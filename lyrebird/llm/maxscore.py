@@ -21,6 +21,8 @@ SHARD_ROWS, QUERY_ROWS = 8192, 512
 #: Terms that are probed at a time, and rows that set the first threshold.
 PROBE, SEED = 6, 64
 LONG = (-(2**63), 2**63 - 1)
+#: Tasks of the join of shards and query blocks at most, and parts of the query blocks at most.
+TASKS, QUERY_PARTS = 1024, 32
 
 
 def to_integers(vector: Column, scale: float = 256.0) -> Column:
@@ -86,8 +88,14 @@ def _largest(m: np.ndarray) -> int:
     return max(abs(int(m.max())), abs(int(m.min()))) if m.size else 0
 
 
+def _smallest(m: np.ndarray) -> str:
+    most = _largest(m)
+    return "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<i8"
+
+
 def _blocks(rows: DataFrame, n: int, rows_each: int) -> tuple[DataFrame, int]:
-    """Rows (id, v) as packed blocks (block, ids, width, data), and the number of blocks."""
+    """Rows (id, v) as packed blocks (block, ids, width, kind, data), and the number of blocks; data has the smallest
+    integers (kind) that hold the block's values."""
     count = max(1, -(-n // rows_each))
 
     def pack(group: pa.Table) -> pa.Table:
@@ -97,10 +105,17 @@ def _blocks(rows: DataFrame, n: int, rows_each: int) -> tuple[DataFrame, int]:
         size = np.diff(np.asarray(lists.offsets))
         m = np.zeros((len(ids), int(size.max(initial=0))), "<i8")
         m[np.arange(m.shape[1]) < size[:, None]] = np.asarray(lists.flatten())
-        return pa.table({"block": [group.column("block")[0].as_py()], "ids": [ids[order].tobytes()], "width": [m.shape[1]], "data": [m[order].tobytes()]}, schema=pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("width", pa.int32()), ("data", pa.binary())]))
+        kind, fields = _smallest(m), [("block", pa.int32()), ("ids", pa.binary()), ("width", pa.int32()), ("kind", pa.string()), ("data", pa.binary())]
+        return pa.table({"block": [group.column("block")[0].as_py()], "ids": [ids[order].tobytes()], "width": [m.shape[1]], "kind": [kind], "data": [m[order].astype(kind).tobytes()]}, schema=pa.schema(fields))
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, width int, data binary"), count
+    return dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, width int, kind string, data binary"), count
+
+
+def _grid(shards: int, blocks: int) -> tuple[int, int]:
+    """Parts of the shards and of the query blocks, each of which meets each in a task."""
+    across = min(blocks, QUERY_PARTS)
+    return min(shards, max(1, TASKS // across)), across
 
 
 def max_score_top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -109,8 +124,9 @@ def max_score_top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: st
     Vectors are floor(scale * x). Rows whose id is null, or whose vector is null or holds a null or non-finite
     component, take no part; a shorter vector counts as 0 beyond its end; scores beyond a long are its nearest. A query
     id that repeats asks once, with its smallest vector, and rows with the query's own id aren't its candidates; other
-    repeated rows are candidates each. Fewer rows than k give all. Query blocks meet shards in an equi-join on the shard;
-    each pair of blocks keeps k rows a query, and the merge limits these again before it shuffles them.
+    repeated rows are candidates each. Fewer rows than k give all. Shards and query blocks are dealt over parts, of which
+    each pair is a task that reads both: what is shuffled and the number of tasks don't grow with the pairs of blocks. Each
+    pair keeps k rows a query, and the merge limits these again, task by task, before it shuffles them.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -119,18 +135,20 @@ def max_score_top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: st
     asked = rows.where("__q").groupBy("id").agg(F.min("v").alias("v"))
     totals = rows.agg(F.count("*").alias("n"), F.count_if("__q").alias("q")).first()
     shards, n_shards = _blocks(rows.select("id", "v"), totals["n"], SHARD_ROWS)
-    blocks, _ = _blocks(asked, totals["q"], QUERY_ROWS)
-    dealt = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("block"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
+    blocks, n_blocks = _blocks(asked, totals["q"], QUERY_ROWS)
+    down, across = _grid(n_shards, n_blocks)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 x = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                q, m = ((np.frombuffer(x[p + "ids"], "<i8"), np.frombuffer(x[p + "data"], "<i8").reshape(-1, x[p + "width"]) if x[p + "width"] else np.zeros((len(x[p + "ids"]) // 8, 0), "<i8")) for p in ("q_", ""))
+                q, m = ((np.frombuffer(x[p + "ids"], "<i8"), np.frombuffer(x[p + "data"], x[p + "kind"]).astype("<i8").reshape(len(x[p + "ids"]) // 8, x[p + "width"])) for p in ("q_", ""))
                 found = list(zip(*top_k(q, m, k))) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
 
-    pairs = materialise(shards, "shards").join(dealt, "block").repartition(F.col("block"), F.xxhash64("q_ids"))
+    shards = materialise(shards, "shards").repartitionByRange(down, "block").drop("block")
+    asks = materialise(blocks, "queries").select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "width", "kind", "data"))).repartition(across)
+    pairs = shards.hint("shuffle_replicate_nl").crossJoin(asks)
     found = pairs.mapInArrow(score, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,6 +14,9 @@ from cases import LONG, TEXTS, documents, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lyrebird.llm import shared
+from lyrebird.operators import steps
+
 WORD, BYTE = (P.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 SF = "/root/testdata/sf0.001"
 
@@ -425,6 +429,21 @@ def test_max_score_merges_shards(spark, monkeypatch):
     assert got == want
 
 
+def test_max_score_shuffles_no_pairs_of_blocks(spark, monkeypatch):
+    from lyrebird.llm import maxscore
+
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 40)
+    monkeypatch.setattr(maxscore, "QUERY_ROWS", 3)
+    df = spark.range(700).select(F.col("id").alias("vec_id"), F.array(F.lit(0.5), F.col("id") / 700).alias("embedding"))
+    found = maxscore.max_score_top_k(df, F.col("vec_id") % 50 == 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and not re.search("SortMergeJoin|Broadcast|Generate", plan)
+    for shards, blocks in ((1, 1), (7, 3), (75, 25), (1878, 601), (10**5, 10**4)):
+        down, across = maxscore._grid(shards, blocks)
+        assert 1 <= down <= shards and 1 <= across <= blocks and down * across <= 1024
+    assert maxscore._smallest(np.array([[-40_000, 3]])) == "<i4" and maxscore._smallest(np.array([[255]])) == "<i2" and maxscore._smallest(np.array([[-(2**63)]])) == "<i8"
+
+
 @pytest.mark.parametrize("size", [3, 300, 10**7, 10**9])
 def test_top_k_of_a_shard(size):
     from lyrebird.llm.maxscore import top_k
@@ -576,3 +595,16 @@ def test_quality_rules(spark):
 def test_long_text_is_read_to_its_end():
     assert LONG.endswith("word29999")
     gc.collect()
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    for write in (lambda df: shared.materialise(df, "counts"), lambda df: steps.stored(df, "counts")):
+        counts, before = spark.range(20_000).groupBy(F.pmod(F.xxhash64("id"), F.lit(97)).alias("k")).agg(F.count("*").alias("n")), files()
+        out = write(counts)
+        for _ in range(50):  # files go a moment later
+            if not (left := files() - before):
+                break
+            time.sleep(0.1)
+        assert not left and out.agg(F.sum("n")).first()[0] == 20_000
