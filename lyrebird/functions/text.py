@@ -138,9 +138,10 @@ def safe_name(c: Column, longest: int = 120) -> Column:
         s = F.replace(s, F.lit(old), F.lit(new))
     s = F.regexp_replace(s, r"[\x00-\x1f]", "")
     s = F.rtrim(F.trim(F.regexp_replace(s, r"\s+", " ")), F.lit(". "))
-    s = F.when(s.rlike(rf"(?i)^(?:{RESERVED})(?:\.|$)"), F.concat(F.lit("_"), s)).otherwise(s)
-    s = F.when(F.char_length(s) > longest, F.rtrim(F.left(s, F.lit(longest)), F.lit(". "))).otherwise(s)
-    return F.when(s == "", F.lit("Unknown")).otherwise(s)
+    # Each step names the one before it once: where it is named twice it is worked out twice, and so is all that it names.
+    s = F.regexp_replace(s, rf"(?i)^(?=(?:{RESERVED})(?:\.|$))", "_")
+    s = F.rtrim(F.left(s, F.lit(longest)), F.lit(". "))
+    return F.regexp_replace(s, r"^\z", "Unknown")
 
 
 def year_of(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lyrebird.functions import text
-from lyrebird.operators import ledger, tracks
+from lyrebird.operators import ledger, steps, tracks
 
 #: What a template may name (the numbers may have a width, as in {track:02d}), and the one that stands in
 #: for a template that isn't valid.
@@ -88,10 +88,12 @@ def planned(files: DataFrame, path: str, seq: str, tag: dict[str, Column], folde
     named = values(tag, p)
     root = F.rtrim(F.lit(target) if target is not None else root_of(p, roots), F.lit("/"))
     below = F.array_join(components(folder_template, named), "/")
-    top = F.when(root == ".", F.lit("")).otherwise(F.concat(root, F.lit("/")))
-    folder = F.when(below == "", top).otherwise(F.concat(top, below, F.lit("/")))
-    name = F.coalesce(F.element_at(components(file_template, named), -1) if file_template.strip("/") else F.lit(None).cast("string"), stem_of(p))
-    rows = files.where(p.isNotNull() & (said("title") | said("album")))
-    rows = rows.select("*", folder.alias("__folder"), F.lower(folder).alias("__lower"), name.alias("__name"), F.lower(suffix_of(p)).alias("__suffix"))
+    name = F.element_at(components(file_template, named), -1) if file_template.strip("/") else F.lit(None).cast("string")
+    rows = files.where(p.isNotNull() & (said("title") | said("album"))).select("*", root.alias("__root"), below.alias("__below"), name.alias("__own"), stem_of(p).alias("__stem_of"), F.lower(suffix_of(p)).alias("__suffix"))
+    top = F.when(F.col("__root") == ".", F.lit("")).otherwise(F.concat("__root", F.lit("/")))
+    rows = rows.withColumn("__folder", F.when(F.col("__below") == "", top).otherwise(F.concat(top, "__below", F.lit("/"))))
+    rows = rows.select(*files.columns, "__folder", F.lower("__folder").alias("__lower"), F.coalesce("__own", "__stem_of").alias("__name"), "__suffix")
+    # Numbering reads its rows three times.
+    rows = steps.stored(rows, "planned")
     out = ledger.destinations(rows, "__lower", "__name", "__suffix", seq)
     return out.select(*files.columns, F.concat("__folder", "dest").alias("planned"))

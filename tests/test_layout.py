@@ -89,3 +89,15 @@ def test_audio_files_of_a_folder(spark, tmp_path):
     assert sorted(r["path"].split("/lib/")[1] for r in got.collect()) == ["a.MP3", "x/b.flac", "x/y/f.opus"]
     assert {r["length"] for r in got.collect()} == {5}
     assert [r["path"].split("/lib/")[1] for r in files.audio_files(spark, root, recursive=False).collect()] == ["a.MP3"]
+
+
+def test_a_safe_name_is_worked_out_once(spark):
+    """Each step of safe_name() names its input once; named twice at each of three steps it was worked out eight times and more."""
+    from pyspark.sql import functions as F
+
+    from lyrebird.functions import text
+
+    rows = spark.createDataFrame([("con",), ("CON.txt",), ("console",), ("",), (None,), (" . ",), ("x" * 119 + ". y",), ("con" + "x" * 130,), ("nul.",), ("a\u2028",)], "raw_name string")
+    named = rows.select(text.safe_name(F.col("raw_name")).alias("safe"))
+    assert str(text.safe_name(F.col("raw_name"))).count("raw_name") == 1
+    assert [r["safe"] for r in named.collect()] == ["_con", "_CON.txt", "console", "Unknown", "Unknown", "Unknown", "x" * 119, "con" + "x" * 117, "_nul", "a\u2028"]
