@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lyrebird.operators import catalog, layout, moves
+from lyrebird.operators import catalog, layout, moves, steps
 from lyrebird.plans import identify
 from lyrebird.plans.catalogue import query, t
 
@@ -23,6 +23,7 @@ SELECT folder, seq, CASE WHEN entry IS NULL THEN release ELSE won END AS release
 def consolidate_folders(spark, d):
     """Lines as files of their order's folder; a release lists the parts of all its order's lines but each fifth."""
     f = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("folder"), F.col("l_linenumber").alias("seq")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    f = steps.stored(f, "files")
     release = F.when(F.col("s") % 4 > 0, F.col("folder") * 10 + F.when(F.col("s") % 3 == 0, 1).otherwise(0))
     files = f.select(
         "folder", F.concat_ws("/", "folder", "seq").alias("path"), "seq", release.alias("release"), F.col("p").alias("recording"), F.lit(None).cast("string").alias("title"), F.lit(1).alias("track_no"), F.lit(0.0).alias("duration_s"), (50.0 + F.col("p") % 40).alias("confidence"),

@@ -101,3 +101,12 @@ def test_a_safe_name_is_worked_out_once(spark):
     named = rows.select(text.safe_name(F.col("raw_name")).alias("safe"))
     assert str(text.safe_name(F.col("raw_name"))).count("raw_name") == 1
     assert [r["safe"] for r in named.collect()] == ["_con", "_CON.txt", "console", "Unknown", "Unknown", "Unknown", "x" * 119, "con" + "x" * 117, "_nul", "a\u2028"]
+
+
+def test_files_of_folders_are_written_once(spark, monkeypatch):
+    from lyrebird.operators import steps
+
+    names, own = [], steps.stored
+    monkeypatch.setattr(steps, "stored", lambda df, name: names.append(name) or own(df, name))
+    plan = albums.consolidate_folders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert names == ["files"] and "lineitem.parquet" not in plan and "l_orderkey" not in plan
