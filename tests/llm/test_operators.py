@@ -49,6 +49,19 @@ def test_chunks_encode_like_whole_texts(path):
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [x[:-1] for x in want[part]]
 
 
+def test_new_chunks_are_encoded_together(monkeypatch):
+    from lyrebird.llm.tokens import ChunkEncoder
+
+    enc, alone = ChunkEncoder(BYTE), []
+    whole = enc._whole
+    monkeypatch.setattr(enc, "_whole", lambda texts: alone.extend(texts) or whole(texts))
+    texts = ["First " + " ".join(f"w{i}é,\nx{i} {'🙂' * (i % 3)}<|endoftext|>it's" for i in range(900)), "", " ", "\n", " a", "\na\n", "a  b \n c\n\nd ", "a\tb", "b"]
+    ids, bounds = enc.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [x[:-1] for x in encoded(BYTE, texts)]
+    # What begins a text, ends in white space or holds a tab; 1,800 other chunks aren't encoded one by one.
+    assert len(enc.seen) > 1800 and len(alone) < 12
+
+
 def test_cache_forgets_without_a_trace(monkeypatch):
     from lyrebird.llm import tokens
 
