@@ -34,20 +34,43 @@ def fuzzy(rows: DataFrame, existing: DataFrame, row_id: str, block: str, artist:
     return pairs.withColumn("__r", F.row_number().over(Window.partitionBy(row_id).orderBy(F.desc("score"), *order))).where("__r = 1").drop("__r")
 
 
+def _met(rows: DataFrame, block: str, value: str, like) -> DataFrame:
+    """__x, __y and __like: each two values that meet in some block, once, whatever the number of blocks and rows."""
+    own = rows.select(block, F.col(value).alias("__x")).distinct()
+    return own.join(own.withColumnRenamed("__x", "__y"), block).select("__x", "__y").distinct().withColumn("__like", like("__x", "__y"))
+
+
+def _paired(rows: DataFrame, met: DataFrame, one: str, other: str, name: str) -> DataFrame:
+    """rows with the likeness of two of their columns; rows whose two values aren't in met go."""
+    fits = F.col(one).eqNullSafe(F.col("__x")) & F.col(other).eqNullSafe(F.col("__y"))
+    return rows.join(met, fits).drop("__x", "__y").withColumnRenamed("__like", name)
+
+
 def fuzzy_within(rows: DataFrame, row_id: str, block: str, artist: str, album: str, like) -> DataFrame:
     """row_id, existing_ row_id and score: the best other row of each row's block, ties to the smaller id, at least LEAST.
 
-    like(a, b) is the likeness of two columns. Only distinct pairs of artist and album of a block are compared, each with
-    the two smallest ids that have it, so rows that say the same are never paired with each other one by one.
+    like(a, b) is the likeness of two columns, 0 to 1. Only distinct pairs of artist and album of a block are compared, each with
+    the two smallest ids that have it, so rows that say the same are never paired with each other one by one. Pairs meet by
+    their albums and then by their artists: of n in a block, n times its albums and artists rather than n times n.
     """
     key = [block, artist, album]
     place = F.row_number().over(Window.partitionBy(*key).orderBy(row_id))
     two = rows.select(row_id, *key).withColumn("__r", place).where("__r <= 2").groupBy(*key)
     two = two.agg(F.min(row_id).alias("first"), F.max(F.when(F.col("__r") == 2, F.col(row_id))).alias("second"))
     other = two.select(block, F.col(artist).alias("__artist"), F.col(album).alias("__album"), F.col("first").alias("__first"))
-    same = F.col(artist).eqNullSafe(F.col("__artist")) & F.col(album).eqNullSafe(F.col("__album"))
-    score = F.bround(TITLE + ARTIST * like(artist, "__artist") + ALBUM * like(album, "__album"), 6)
-    pairs = two.join(other, block).withColumn("own", same).where("NOT own OR second IS NOT NULL").withColumn("score", score).where(F.col("score") >= LEAST)
+    # An album first meets the other albums of each artist in its block, and only the best of these meet its own artists.
+    asked = two.select(block, F.col(album).alias("__asked")).distinct()
+    near = _paired(other.join(asked, block), _met(two, block, album, like), "__asked", "__album", "__by_album")
+    near = near.withColumn("__same", F.col("__asked").eqNullSafe(F.col("__album")))
+    near = near.groupBy(block, "__asked", "__artist", "__same", "__by_album").agg(F.min("__first").alias("__first"))
+    # Likenesses of albums that are this close may round to one score, among which the smaller id wins.
+    most = F.max("__by_album").over(Window.partitionBy(block, "__asked", "__artist", "__same"))
+    near = near.withColumn("__most", most).where(F.col("__by_album") >= F.col("__most") - 2e-6 / ALBUM).withColumnRenamed(block, "__block")
+    near = two.join(near, (F.col(block) == F.col("__block")) & F.col(album).eqNullSafe(F.col("__asked")))
+    near = near.withColumn("own", F.col("__same") & F.col(artist).eqNullSafe(F.col("__artist"))).where("NOT own OR second IS NOT NULL")
+    artists = _met(two, block, artist, like).where(F.col("__like") >= (LEAST - TITLE - ALBUM) / ARTIST - 1e-5)
+    score = F.bround(TITLE + ARTIST * F.col("__by_artist") + ALBUM * F.col("__by_album"), 6)
+    pairs = _paired(near, artists, artist, "__artist", "__by_artist").withColumn("score", score).where(F.col("score") >= LEAST)
     best = F.max(F.when(~F.col("own"), F.struct("score", (-F.col("__first")).alias("less"))))
     found = pairs.groupBy(*key, "first", "second").agg(best.alias("best"), F.max(F.when(F.col("own"), F.col("score"))).alias("mine"))
     renamed = found.select(F.col(block).alias("__b"), F.col(artist).alias("__a"), F.col(album).alias("__l"), "first", "second", "best", "mine")
