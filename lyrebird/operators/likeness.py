@@ -16,16 +16,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lyrebird.functions import text
+from lyrebird.functions.workers import ship
 from lyrebird.operators import steps
 
 #: Entries of one key that a task meets at most on each side, on average; a key with more is dealt over tiles.
 TILE = 4096
+#: Elements of fewer entries are met in blocks of many such elements.
+SMALL = 64
+#: Entries of a block that meet all others at once.
+ROWS = 128
 #: Longs of a bag's bitmap. Names of 50 letters fill a fifth of 256 bits; the bitmap of a very long name prunes nothing.
 BITMAP = tuple(f"bits_{i}" for i in range(4))
 #: What products of doubles may be off by.
@@ -90,16 +97,70 @@ def _missing(one: str, other: str) -> Column:
     return sum(F.bit_count(F.col(f"{one}_{c}").bitwiseAND(F.bitwise_not(f"{other}_{c}"))) for c in BITMAP)
 
 
+def _overlapping(least: float):
+    """Of a block's entries, pairs of ids whose bags may overlap as far as alike names' do; each pair of entries is looked at once."""
+    slope, need = 1.5 * least - 1, least / (2 - least)
+
+    def run(block: pa.Table) -> pa.Table:
+        col = {c: block.column(c).to_numpy() for c in block.column_names}
+        bits = np.stack([col[c].view(np.uint64) for c in BITMAP])
+        # What the overlap may be at most is `lack` below the bits that both have, and what is left of either bag from here on.
+        lack, rest = np.bitwise_count(bits).sum(0, dtype=np.int64) - col["n"], col["n"] - col["at"]
+        found = [np.empty((2, 0), np.int64)]
+
+        def meet(left: np.ndarray, right: np.ndarray, triangle: bool) -> None:
+            """Places of entries, both in the order of their lengths."""
+            size = col["length"][right]
+            for at in range(0, len(left), ROWS):
+                some = left[at : at + ROWS]
+                own = col["length"][some]
+                start = max(np.searchsorted(size, own[0] * need - 2 * _EPS), at + 1 if triangle else 0)
+                others = right[start : np.searchsorted(size, own[-1] / need + 1)]
+                if not len(others):
+                    continue
+                common = np.zeros((len(some), len(others)), np.uint16)
+                for word in bits:
+                    common += np.bitwise_count(word[some][:, None] & word[others][None, :])
+                fewest = 1 + slope * (own + col["length"][others[0]]) - 2 * _EPS + lack[some]
+                x, y = np.nonzero(common >= np.clip(np.ceil(fewest), 0, 1 << 15).astype(np.uint16)[:, None])
+                both, i, j = common[x, y].astype(np.int64), some[x], others[y]
+                overlap = 1 + (col["length"][i] + col["length"][j]) * slope - _EPS
+                fits = (both - lack[i] >= overlap) & (both - lack[j] >= overlap) & (np.minimum(rest[i], rest[j]) >= overlap)
+                fits &= (col["length"][i] >= col["length"][j] * need - _EPS) & (col["length"][j] >= col["length"][i] * need - _EPS) & (col["id"][i] != col["id"][j])
+                if triangle:
+                    fits &= start + y > at + x
+                i, j = col["id"][i[fits]], col["id"][j[fits]]
+                found.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+
+        order = np.lexsort((col["length"], col["tile"], col["element"]))
+        ends = np.flatnonzero(np.diff(col["element"][order], append=-1)) + 1
+        for first, last in zip([0, *ends], ends):
+            entries = order[first:last]
+            if col["__i"][entries[0]] == col["__j"][entries[0]]:
+                meet(entries, entries, True)
+            else:
+                cut = np.searchsorted(col["tile"][entries], col["__j"][entries[0]])
+                meet(entries[:cut], entries[cut:], False)
+        pairs = np.concatenate(found, axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return run
+
+
 def _near(bags: DataFrame, least: float) -> DataFrame:
-    """Pairs of ids whose bags may overlap as much as alike names' do."""
+    """Pairs of ids whose bags may overlap as much as alike names' do.
+
+    An element's entries are dealt over tiles of TILE, and each two tiles are a block; elements of few entries share blocks.
+    """
+    ship(bags.sparkSession)
     entries = bags.select("id", "n", "length", *BITMAP, F.posexplode("prefix").alias("at", "element"))
-    both = F.col("a_length") + F.col("b_length")
-    overlap = 1 + both * (1.5 * least - 1) - _EPS
-    fits = F.col("a_id") < F.col("b_id")
-    fits &= F.least("a_length", "b_length") >= F.greatest("a_length", "b_length") * (least / (2 - least)) - _EPS
-    fits &= F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= overlap
-    fits &= (F.col("a_n") - _missing("a", "b") >= overlap) & (F.col("b_n") - _missing("b", "a") >= overlap)
-    return _tiled(entries, entries, "element", fits)
+    counted = entries.groupBy("element").agg(F.count("*").alias("met")).where("met > 1")
+    tiles = F.ceil(F.col("met") / TILE).cast("int")
+    block = F.when(F.col("met") > SMALL, F.col("element")).otherwise(-1 - F.pmod(F.xxhash64("element"), F.lit(8 * _tasks(bags))))
+    known = entries.join(counted.select("element", tiles.alias("tiles"), block.alias("block")), "element").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    dealt = known.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.withColumns({"__i": F.least("tile", "__other"), "__j": F.greatest("tile", "__other")}).drop("__other", "tiles")
+    return dealt.repartition(_tasks(bags), "block", "__i", "__j").groupBy("block", "__i", "__j").applyInArrow(_overlapping(least), "a long, b long")
 
 
 def _contained(names: DataFrame, bags: DataFrame, least: float) -> DataFrame:

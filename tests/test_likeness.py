@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,6 +48,30 @@ def test_alike_equals_all_pairs(spark, monkeypatch, least):
         assert all((r.n_names, r.n_others) == (times[r["name"]], times[r.other]) for r in got)
 
 
+@pytest.mark.parametrize("i, j", [(0, 0), (0, 1)])
+def test_a_block_meets_each_two_entries_once(monkeypatch, i, j):
+    monkeypatch.setattr(likeness, "ROWS", 7)
+    rng, least, rows = np.random.default_rng(i + j), 0.8, []
+    centres = rng.integers(0, 256, (4, 30))
+    for k in range(240):
+        bag = centres[k % 4, : rng.integers(18, 31)] if k % 5 else rng.integers(0, 256, rng.integers(2, 90))
+        words = [sum(1 << int(b) % 64 for b in set(bag.tolist()) if b // 64 == w) for w in range(4)]
+        rows.append((k // 2, k % 3, [i, j][k // 12 % 2], len(bag), len(bag) - 1, int(rng.integers(0, 6)), words))
+    signed = lambda w: w - (1 << 64) if w >> 63 else w
+    columns = {c: pa.array([r[at] for r in rows]) for at, c in enumerate(("id", "element", "tile", "n", "length", "at"))}
+    columns |= {c: pa.array([signed(r[6][w]) for r in rows], pa.int64()) for w, c in enumerate(likeness.BITMAP)}
+    got = likeness._overlapping(least)(pa.table(columns | {"__i": pa.array([i] * 240), "__j": pa.array([j] * 240)})).to_pylist()
+    want = []
+    for x, a in enumerate(rows):
+        for b in rows[x + 1 :]:
+            if a[1] == b[1] and a[0] != b[0] and (i == j or a[2] != b[2]):
+                need = 1 + (a[4] + b[4]) * (1.5 * least - 1) - 1e-9
+                lacks = lambda p, q: sum((v & ~w).bit_count() for v, w in zip(p[6], q[6]))
+                if min(a[4], b[4]) >= max(a[4], b[4]) * least / (2 - least) - 1e-9 and min(a[3] - a[5], b[3] - b[5], a[3] - lacks(a, b), b[3] - lacks(b, a)) >= need:
+                    want.append((min(a[0], b[0]), max(a[0], b[0])))
+    assert len(want) > 100 and sorted((r["a"], r["b"]) for r in got) == sorted(want)
+
+
 def test_few_candidates(spark):
     rng = random.Random(5)
     names = {" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(4)) for _ in range(1500)}
