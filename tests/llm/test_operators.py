@@ -387,6 +387,26 @@ def test_jaccard_classes_edge_cases(spark):
     assert jaccard_classes(documents(spark).limit(0)).count() == 0
 
 
+def test_equal_texts_are_shingled_once(spark, monkeypatch):
+    from lyrebird.llm import ngram_join
+
+    sizes, plain = {}, ngram_join.materialise
+
+    def counted(df, name, **options):
+        out = plain(df, name, **options)
+        if name == "blocks":
+            sizes[name] = out.where("sig IS NOT NULL").count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    r = np.random.default_rng(3)
+    texts = [x for f in range(6) for x in edited(r, [f"w{f}_{k}" for k in range(60)], 4)] + ["", None, "A b", "a B", "q r s t u v w x y", "Q r s t u v w x y"]
+    docs = [(1000 * c + i, t) for c in range(6) for i, t in enumerate(texts)]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(6))
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in rows(got)) == brute_classes(docs)
+    assert 0 < sizes["blocks"] <= len(set(texts))  # a set a block that has a copy, before
+
+
 def test_components(spark):
     from lyrebird.llm.components import connected
 
