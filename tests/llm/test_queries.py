@@ -56,6 +56,28 @@ def test_pipeline_keeps_one_row_a_class(spark):
     assert again.count() == len(got) and {(r["doc_id"], r["text"], r["source"]) for r in again.collect()} == got
 
 
+def test_pipeline_shingles_copies_once(spark, monkeypatch):
+    """Copies of all documents leave the rows of one, and no set is written again for its copies."""
+    import corpus_pipeline as p
+    from lyrebird.llm import ngram_join
+
+    plain, sets = ngram_join.materialise, []
+
+    def counted(df, name, **options):
+        out = plain(df, name, **options)
+        sets.extend([out.where("sig IS NOT NULL").count()] if name == "blocks" else [])
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    docs = p.materialise(spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 100").orderBy("doc_id").limit(80), "t")
+    copies = docs
+    for i in range(1, 6):
+        copies = copies.unionByName(docs.withColumn("doc_id", docs["doc_id"] + 100_000 * i))
+    want = {r["doc_id"] for r in p.keep_one(spark, docs, SF).collect()}
+    assert [r["doc_id"] for r in p.keep_one(spark, copies, SF).orderBy("doc_id").collect()] == sorted(want)
+    assert sets[1] <= docs.select("text").distinct().count()
+
+
 def test_url_templates_reject_what_no_rule_names(spark, tmp_path):
     junk, plain = "<p>" + "win*** $$$ " * 20 + "</p><!-- # -->", "<style>p{#*$%}</style><p>" + "a quiet page of plain words " * 9 + "</p>"
     pages = [(i, f"http://bets.org/en/{i}", junk) for i in range(30)] + [(100 + i, f"http://bets.org/{'ab'[i % 2]}/x/{i}", None) for i in range(10)]
